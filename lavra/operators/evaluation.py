@@ -44,13 +44,21 @@ def at_threshold(df: DataFrame, label: str, score: str, threshold: float, by: Se
     return rates(scored(df, label, score).groupBy(*by).agg(*counts(label, F.col(score) >= threshold)))
 
 
+def _thresholds_reached(score: Column, grid: Sequence[float], lo: int, hi: int) -> Column:
+    """How many of the sorted thresholds a score reaches, given that it is lo to hi: a binary search as nested cases."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(score >= grid[mid], _thresholds_reached(score, grid, mid + 1, hi)).otherwise(_thresholds_reached(score, grid, lo, mid))
+
+
 def sweep(df: DataFrame, label: str, score: str, thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Counts and rates at every threshold in one pass: scores fall between thresholds, counts are summed from above.
 
     The rows are reduced to groups x thresholds before anything is summed.
     """
     by, grid = list(by), sorted(thresholds)
-    slot = sum((F.when(F.col(score) >= t, 1).otherwise(0) for t in grid), F.lit(0))
+    slot = _thresholds_reached(F.col(score), grid, 0, len(grid))
     per = scored(df, label, score).groupBy(*by, slot.alias("_slot")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count("*").alias("_n"))
     # Every slot up to a row's own: the row is positive at those thresholds.
     totals = per.groupBy(*by).agg(F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
@@ -133,9 +141,9 @@ def robust_band(curve: DataFrame, by: Sequence[str], threshold: str, value: str,
     return band.groupBy(*by).agg(F.min(threshold).alias("from"), F.max(threshold).alias("to"), F.count("*").alias("thresholds"), F.max("top").alias("best_mean"), F.min("worst").alias("worst"))
 
 
-def valued(curve: DataFrame, values: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Curve points times the unit values of hits and false alarms (tp_value, fp_value), which are the caller's."""
-    return curve.join(values, list(on)).withColumn("value", F.col("tp") * F.col("tp_value") + F.col("fp") * F.col("fp_value"))
+def with_value(curve: DataFrame) -> DataFrame:
+    """``value`` of curve points with the caller's unit values of hits and false alarms (tp_value, fp_value)."""
+    return curve.withColumn("value", F.col("tp") * F.col("tp_value") + F.col("fp") * F.col("fp_value"))
 
 
 def winner_counts(curve: DataFrame, scenario: str, model: str, value: str, threshold: str) -> DataFrame:

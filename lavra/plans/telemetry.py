@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lavra.functions.text import folded, plain_key, text_concept
-from lavra.functions.time import micros
+from lavra.functions.time import bucket_start, micros
 from lavra.operators import concepts, events, intervals, quality
+from lavra.operators.evaluation import with_and_without
 from lavra.plans.audit import CONTENT
 from lavra.plans.registry import Registry
 from lavra.sources import read_table
@@ -144,8 +145,6 @@ v AS (SELECT tag, a, a + INTERVAL 8 HOUR AS b FROM w)"""
 
 
 def _windows(spark, d):
-    from lavra.functions.time import bucket_start
-
     w = _tel(spark, d).where("is_dont_go = 1").select(plain_key("tag").alias("tag"), bucket_start(TS, 8 * 3600).alias("a")).distinct()
     return w.withColumn("b", F.col("a") + F.expr("INTERVAL 8 HOURS"))
 
@@ -215,8 +214,6 @@ SELECT count(*) FILTER (WHERE alerta) AS n_with, round(quantile_cont(min, 0.5) F
   round(quantile_cont(min, 0.5) FILTER (WHERE alerta) - quantile_cont(min, 0.5) FILTER (WHERE NOT alerta), 6) AS delta FROM k""")
 def with_without_alert(spark, d):
     """Durations of operating intervals with and without a flagged event, trimmed at the 99th percentile."""
-    from lavra.operators.evaluation import with_and_without
-
     ap = _ap(spark, d).where("fim > inicio AND estado = 'operando' AND tag IS NOT NULL")
     hits = intervals.point_in_interval(_flagged(spark, d).withColumnRenamed("id", "ev"), ap, "tag", "ts", "inicio", "fim", ["id"], how="inner").select("id").distinct()
     x = ap.join(hits.withColumn("alerta", F.lit(True)), "id", "left").select("id", ((micros("fim") - micros("inicio")) / F.lit(6e7)).alias("min"), F.coalesce("alerta", F.lit(False)).alias("alerta"))

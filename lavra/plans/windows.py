@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lavra.functions.text import plain_key
+from lavra.functions.time import bucket_start
 from lavra.operators import encoding, grid
 from lavra.plans.registry import Registry
 from lavra.sources import read_table
@@ -131,11 +132,9 @@ def topk_vocab_pivot(spark, d):
     """Counts by bin of the alarms of a training vocabulary."""
     t = _tel(spark, d)
     words = encoding.vocabulary(t, "id_alarme", 8, F.col("data_evento") < F.expr(f"timestamp_ntz'{_CUT}'"))
-    from lavra.functions.time import bucket_start
-
-    rows = t.where("tag IS NOT NULL").select("tag", bucket_start("data_evento", BIN).alias("bin"), *[(F.coalesce(F.col("id_alarme") == w, F.lit(False))).alias(f"is_{i}") for i, w in enumerate(words)])
-    missing = [F.lit(0).cast("long").alias(f"alarm_{i}") for i in range(len(words), 8)]
-    return rows.groupBy("tag", "bin").agg(*[F.count_if(f"is_{i}").alias(f"alarm_{i}") for i in range(len(words))], *missing) if not missing else rows.groupBy("tag", "bin").agg(*[F.count_if(f"is_{i}").alias(f"alarm_{i}") for i in range(len(words))]).select("*", *missing)
+    is_word = [F.col("id_alarme") == w for w in words] + [F.lit(False)] * (8 - len(words))
+    rows = t.where("tag IS NOT NULL").groupBy("tag", bucket_start("data_evento", BIN).alias("bin"))
+    return rows.agg(*[F.count_if(hit).alias(f"alarm_{i}") for i, hit in enumerate(is_word)])
 
 
 @R.query("SELECT sample_id, CASE WHEN tipo = 'Caminhao' THEN 1 ELSE 0 END AS tipo_0, CASE WHEN tipo = 'Escavadeira' THEN 1 ELSE 0 END AS tipo_1 FROM predictions")
@@ -164,8 +163,6 @@ def cyclic_time(spark, d):
 SELECT f.tag, f.prediction_time, t.id_alarme, count(*) AS n FROM f JOIN t ON t.tag = f.tag AND t.data_evento >= f.prediction_time - INTERVAL 24 HOUR AND t.data_evento < f.prediction_time GROUP BY ALL""")
 def error_context(spark, d):
     """What alarms the spans before positive samples hold: events lifted to the samples they serve."""
-    from lavra.functions.time import bucket_start
-
     t = _tel(spark, d)
     pos = grid.horizon_target(_samples(spark, d), t.where("is_dont_go = 1"), "tag", "data_evento", BIN, BIN).where("target = 1").select("tag", "prediction_time")
     bins = t.where("tag IS NOT NULL AND data_evento IS NOT NULL").groupBy("tag", bucket_start("data_evento", BIN).alias("bin"), "id_alarme").agg(F.count("*").alias("n"))
