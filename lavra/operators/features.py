@@ -14,6 +14,8 @@ one by the caller. Repeated rows count each. Empty input gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,44 +34,42 @@ def type_list(groups: DataFrame, column: str, max_types: int = 20_000) -> list:
     return sorted(r[0] for r in rows)
 
 
-def entity_features(events: DataFrame, cols: list[str], recent_days: int = 30, heavy_share: float = HEAVY_SHARE, salts: int = SALTS) -> DataFrame:
+def entity_features(events: DataFrame, cols: Sequence[str], recent_days: int = 30, heavy_share: float = HEAVY_SHARE, salts: int = SALTS) -> DataFrame:
     """One row per ``entity`` from (entity, ts, type columns ``cols``).
 
     For every type column ``c`` its complete list ``c_ids`` and arrays in the list's order: ``c_count`` (events in the last
     ``recent_days`` before the last event of all), ``c_recency_s`` (seconds from the type's last event to the last
     event of all, null if it has none) and ``c_total`` (events ever).
     """
-    events = events.where("entity IS NOT NULL AND ts IS NOT NULL").withColumn("us", micros("ts")).drop("ts")
-    groups = staged(events.groupBy("entity", *cols).agg(F.count("*").alias("n"), F.max("us").alias("us")), "feature-groups")
-    types = {c: type_list(groups, c) for c in cols}
+    own = [f"c{i}" for i in range(len(cols))]
+    events = events.select("entity", micros("ts").alias("us"), *[F.col(c).alias(o) for c, o in zip(cols, own)]).where("entity IS NOT NULL AND us IS NOT NULL")
+    groups = staged(events.groupBy("entity", *own).agg(F.count("*").alias("n"), F.max("us").alias("us")), "feature-groups")
+    types = [type_list(groups, o) for o in own]
     total, last = groups.agg(F.sum("n"), F.max("us")).first()
     floor = (last or 0) - recent_days * 86_400_000_000
-    heavy = groups.where(F.col("n") >= max(1, int((total or 0) * heavy_share))).select("entity", *cols, F.lit(salts).alias("salts"))
+    heavy = groups.where(F.col("n") >= max(1, int((total or 0) * heavy_share))).select("entity", *own, F.lit(salts).alias("salts"))
     same = F.col("e.entity") == F.col("h.entity")
-    for c in cols:
-        same = same & F.col(f"e.{c}").eqNullSafe(F.col(f"h.{c}"))
-    salted = events.alias("e").join(F.broadcast(heavy).alias("h"), same, "left").select(
-        "e.*", F.pmod(F.xxhash64("e.us"), F.coalesce("h.salts", F.lit(1))).alias("salt")
-    )
+    for o in own:
+        same = same & F.col(f"e.{o}").eqNullSafe(F.col(f"h.{o}"))
+    salted = events.alias("e").join(F.broadcast(heavy).alias("h"), same, "left").select("e.*", F.pmod(F.xxhash64("e.us"), F.coalesce("h.salts", F.lit(1))).alias("salt"))
     recent = F.count_if(F.col("us") > floor).alias("recent")
-    partial = salted.groupBy("entity", *cols, "salt").agg(F.count("*").alias("n"), recent, F.max("us").alias("us"))
+    partial = salted.groupBy("entity", *own, "salt").agg(F.count("*").alias("n"), recent, F.max("us").alias("us"))
     # Every type column of a partial row is a statistic of its own; the rows are few now.
-    long = partial.select(
-        "entity", "n", "recent", "us",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).cast("string").alias("type")) for i, c in enumerate(cols)])).alias("k"),
-    )
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(o).cast("string").alias("type")) for i, o in enumerate(own)])
+    long = partial.select("entity", "n", "recent", "us", F.explode(kinds).alias("k"))
     merged = long.groupBy("entity", "k").agg(F.sum("n").alias("n"), F.sum("recent").alias("recent"), F.max("us").alias("us"))
-    stats = F.map_from_entries(F.collect_list(F.when(F.col("k.type").isNotNull(), F.struct(F.concat_ws(":", "k.kind", "k.type"), F.struct("n", "recent", "us")))))
-    wide = merged.groupBy("entity").agg(stats.alias("m"))
+    entry = F.struct(F.concat_ws(":", F.col("k.kind").cast("string"), "k.type"), F.struct("n", "recent", "us"))
+    wide = merged.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.when(F.col("k.type").isNotNull(), entry))).alias("m"))
     out: list[Column] = [F.col("entity")]
     for i, c in enumerate(cols):
-        keys = F.lit([f"{i}:{t}" for t in types[c]]) if types[c] else F.array().cast("array<string>")
+        names = F.lit(types[i]) if types[i] else F.array().cast(f"array<{dict(groups.dtypes)[own[i]]}>")
+        keys = F.lit([f"{i}:{t}" for t in types[i]]) if types[i] else F.array().cast("array<string>")
 
         def pick(get, keys=keys) -> Column:
             return F.transform(keys, lambda k: get(F.col("m")[k]))
 
         out += [
-            (F.lit(types[c]) if types[c] else F.array().cast("array<string>")).alias(f"{c}_ids"),
+            names.alias(f"{c}_ids"),
             pick(lambda s: F.coalesce(s["recent"], F.lit(0))).alias(f"{c}_count"),
             pick(lambda s: (F.lit(last) - s["us"]) / F.lit(1e6)).alias(f"{c}_recency_s"),
             pick(lambda s: F.coalesce(s["n"], F.lit(0))).alias(f"{c}_total"),

@@ -9,8 +9,8 @@
 
 Rows are shuffled once, by input partition and key, a group no larger than an input partition. The windows over a whole
 key run over one row per input partition (step 2) or per chunk (step 5). The input partition of a row and its place
-there come from one numbering of the scan; both uses of it read the same plan. An input whose rows may come in another
-order when a task is run again (one behind a shuffle) has to be staged first.
+there come from one numbering of the scan, which both uses repeat; so an input whose rows could come in another order the
+second time (anything but a scan with projections and filters) is first written to the shared folder.
 
 Nulls: a null in a key is a key of its own. Empty input gives an empty result. Ties do not occur, rows are numbered in
 input order. Extra columns are ignored unless named; names starting with ``_lv_`` are the operator's own.
@@ -18,12 +18,15 @@ input order. Extra columns are ignored unless named; names starting with ``_lv_`
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lavra.session import staged
+
 CHUNK_ROWS = 100_000
 
 
@@ -34,9 +37,21 @@ def _same(a: str, b: str, keys: Sequence[str]) -> Column:
     return cond
 
 
+#: Logical nodes that keep the rows of a scan in their partitions and order.
+_STEADY = {"Project", "Filter", "Relation", "LogicalRelation", "LocalRelation", "Range", "RelationV2", "ColumnarToRow"}
+
+
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if it is a scan with projections and filters, else its rows as a table in the shared folder."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+\-]*(\w+)", line))}
+    return df if nodes <= _STEADY else staged(df, name)
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``df`` with ``_lv_no`` (0, 1, 2, ... within its key, in input order, without gaps) and ``_lv_chunk``."""
     keys = list(keys)
+    df = steady(df, "numbering")
     placed = df.withColumn("_lv_pos", F.monotonically_increasing_id()).withColumn("_lv_part", F.shiftright("_lv_pos", 33))
     counts = placed.groupBy("_lv_part", *keys).agg(F.count("*").alias("_lv_n"))
     before = Window.partitionBy(*keys).orderBy("_lv_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -51,3 +51,9 @@ def staged(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
         df = df.coalesce(partitions)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it has fewer: for work per row that is worth a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
