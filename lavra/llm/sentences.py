@@ -83,7 +83,7 @@ def _block_items(text: str, at: int, end: int) -> Iterator[tuple[int, int, int]]
         elif kind == "number":
             n = int("".join(c for c in m.group() if c.isdigit()))
             before = text[at:line_end].rstrip()
-            ok = n == number + 1 and (n > 1 or first or before[-1:] in _MARKS + ":;")
+            ok = first or first_kind == "number" or (n == number + 1 and (n > 1 or before[-1:] in _MARKS + ":;"))
             number = n if ok else number
         elif kind == "letter":
             ok = first or first_kind == "letter"

@@ -22,7 +22,9 @@ CASES = [
     "o motor parou. o rádio chia muito?! ok".replace(". o", ".| o").replace("?! ok", "?!| ok"),
     "[13:07] OP_1: Quem saiu??\n|[17:22] OP_2: eu.| Já volto",
     "- um item\n|- Outro. Mais".replace(". Mais", ".| Mais"),
-    "1. um\n|2. dois\n|3. ver tab.\n12.| Depois saiu",
+    "1. um\n|2. dois\n|4. três",
+    "Um valor\nna tab.\n12.| Depois saiu",
+    "Antes.\n\n|3. Título",
     "1) um\r\n|2) dois",
     "Título\n\n|Texto que segue\nna outra linha.| Fim",
     "在修。|压力从28.0降到1.5，其余正常！|配件还没到……维修组继续等待。|调度说：“请叫维修。制动失效！”然后走了。",
