@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lavra.functions.stats import quantile
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -121,10 +123,10 @@ def calibration_error(df: DataFrame, label: str, score: str, by: Sequence[str] =
     return r.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("rate"))) / F.sum("n")).alias("ece"))
 
 
-def segments(df: DataFrame, label: str, score: str, threshold: float, by: Sequence[str]) -> DataFrame:
+def segments(df: DataFrame, label: str, score: str, threshold: float, by: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """Per segment the rates at a threshold, its prevalence, false positive rate and 90th percentile of scores."""
     s = scored(df, label, score)
-    extra = [F.avg((F.col(label) == 1).cast("double")).alias("prevalence"), F.percentile(score, F.lit(0.9)).alias("p90")]
+    extra = [F.avg((F.col(label) == 1).cast("double")).alias("prevalence"), quantile(score, 0.9, accuracy).alias("p90")]
     out = rates(s.groupBy(*by).agg(F.count("*").alias("n"), *counts(label, F.col(score) >= threshold), *extra))
     return out.withColumn("fpr", _ratio(F.col("fp"), F.col("fp") + F.col("tn")))
 
@@ -160,14 +162,14 @@ def against_reference(metrics: DataFrame, name: str, reference: str, columns: Se
     return metrics.select(name, *[(F.col(c) - F.lit(None if row is None else row[f"_r_{c}"])).alias(f"d_{c}") for c in columns])
 
 
-def with_and_without(df: DataFrame, flag: Column, value: str, trim: float | None = None) -> DataFrame:
+def with_and_without(df: DataFrame, flag: Column, value: str, trim: float | None = None, accuracy: int | None = None) -> DataFrame:
     """Median, 90th percentile and count of a value with and without a flag, and the difference of the medians.
 
     ``trim`` leaves out values above that quantile of all.
     """
     rows = df.where(F.col(value).isNotNull())
     if trim is not None:
-        rows = rows.where(F.col(value) <= F.lit(rows.agg(F.percentile(value, F.lit(trim))).first()[0]))
+        rows = rows.where(F.col(value) <= F.lit(rows.agg(quantile(value, trim, accuracy)).first()[0]))
     a, b = F.when(flag, F.col(value)), F.when(~flag, F.col(value))
-    out = rows.agg(*[f.alias(n) for c, s in ((a, "with"), (b, "without")) for f, n in ((F.count(c), f"n_{s}"), (F.percentile(c, F.lit(0.5)), f"median_{s}"), (F.percentile(c, F.lit(0.9)), f"p90_{s}"))])
+    out = rows.agg(*[f.alias(n) for c, s in ((a, "with"), (b, "without")) for f, n in ((F.count(c), f"n_{s}"), (quantile(c, 0.5, accuracy), f"median_{s}"), (quantile(c, 0.9, accuracy), f"p90_{s}"))])
     return out.withColumn("delta", F.col("median_with") - F.col("median_without"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lavra.functions.stats import quantile
 from lavra.functions.time import millis
 from lavra.operators.chained import block_of, with_previous, with_running_sum
 
@@ -56,20 +57,20 @@ def sessions_by_gap(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, ga
     return wide.select(F.inline(rows))
 
 
-def transitions(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, kind: str) -> DataFrame:
+def transitions(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, kind: str, accuracy: int | None = None) -> DataFrame:
     """(from, to, n, median_ms, mean_ms): how often a kind follows another in each key's order."""
     rows = df.select(*dict.fromkeys([*keys, ts, id_col, kind])).na.drop(subset=[*keys, ts]).withColumn("_blk", block_of(ts))
     out = with_previous(rows, keys, "_blk", [ts, id_col], [ts, kind]).where(F.col(f"prev_{ts}").isNotNull())
     step = millis(ts) - millis(f"prev_{ts}")
-    return out.groupBy(F.col(f"prev_{kind}").alias("from"), F.col(kind).alias("to")).agg(F.count("*").alias("n"), F.percentile(step, F.lit(0.5)).alias("median_ms"), F.avg(step).alias("mean_ms"))
+    return out.groupBy(F.col(f"prev_{kind}").alias("from"), F.col(kind).alias("to")).agg(F.count("*").alias("n"), quantile(step, 0.5, accuracy).alias("median_ms"), F.avg(step).alias("mean_ms"))
 
 
-def timing_profile(df: DataFrame, entity: str, kind: str, ts: str, id_col: str, least_gaps: int = 100, least_entities: int = 3) -> DataFrame:
+def timing_profile(df: DataFrame, entity: str, kind: str, ts: str, id_col: str, least_gaps: int = 100, least_entities: int = 3, accuracy: int | None = None) -> DataFrame:
     """Per kind the quantiles of its gaps, and how far its entities' medians lie apart (for kinds with enough of both)."""
     g = gaps(df, [entity, kind], ts, id_col).where("gap_ms IS NOT NULL")
-    q = [F.percentile("gap_ms", F.lit(p)).alias(n) for p, n in ((0.5, "median_ms"), (0.9, "p90_ms"), (0.99, "p99_ms"))]
+    q = [quantile("gap_ms", p, accuracy).alias(n) for p, n in ((0.5, "median_ms"), (0.9, "p90_ms"), (0.99, "p99_ms"))]
     overall = g.groupBy(kind).agg(F.count("*").alias("gaps"), *q)
-    per = g.groupBy(kind, entity).agg(F.percentile("gap_ms", F.lit(0.5)).alias("m"))
+    per = g.groupBy(kind, entity).agg(quantile("gap_ms", 0.5, accuracy).alias("m"))
     spread = per.groupBy(kind).agg(F.count("*").alias("entities"), F.max("m").alias("max_median"), F.min("m").alias("min_median"))
     spread = spread.withColumn("ratio", F.try_divide(F.col("max_median"), F.col("min_median")))
     return overall.join(spread, kind).where((F.col("gaps") >= least_gaps) & (F.col("entities") >= least_entities))

@@ -12,8 +12,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lavra.operators.evaluation import average_precision
+from lavra.session import staged
 
 
 def single_class(df: DataFrame, label: str) -> bool:
@@ -67,6 +69,29 @@ def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str
     return sorted(zip(features, (float(x) for x in model.stages[-1].featureImportances.toArray())), key=lambda x: (-x[1], x[0]))
 
 
+def _numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """``df`` numbered 1, 2, ... in the order of a hash: ranks within buckets of it, offset by the buckets before."""
+    df = df.withColumn("_o", order).withColumn("_b", F.shiftrightunsigned("_o", 54))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy("_b").agg(F.count("*").alias("_c")).select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_o")))
+    return ranked.join(offsets, "_b").withColumn(name, F.col("_r") + F.col("_off")).drop("_o", "_b", "_r", "_off")
+
+
+def permutation_importances(model: PipelineModel, held: DataFrame, features: Sequence[str], label: str) -> list[tuple[str, float]]:
+    """How much average precision falls when a feature's values are dealt anew among the rows, the largest fall first."""
+    held = staged(held, "held")
+    base = average_precision(score(model, held), label, "score", []).first()["average_precision"]
+    key = F.monotonically_increasing_id()
+    rows = _numbered(held, F.xxhash64(key, F.lit(3)), "_n")
+    out = []
+    for i, f in enumerate(features):
+        values = _numbered(held.select(F.col(f).alias("_v")), F.xxhash64(key, F.lit(100 + i)), "_n")
+        dealt = rows.drop(f).join(values.withColumnRenamed("_v", f), "_n").drop("_n")
+        out.append((f, base - average_precision(score(model, dealt), label, "score", []).first()["average_precision"]))
+    return sorted(out, key=lambda x: (-x[1], x[0]))
+
+
 def time_ordered_search(df: DataFrame, ts: str, label: str, origins: Sequence[str], test: str, candidates: dict[str, Pipeline]) -> list[tuple[str, float]]:
     """(candidate, mean average precision over the origins), the best first: train before each origin, test after it.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lavra import streaming
-from lavra.operators import encoding, models
+from lavra.operators import encoding, models, quality
 from lavra.plans.registry import Registry
 from lavra.sources import read_table
 
@@ -70,6 +70,23 @@ def forest_importances(spark, d):
     return spark.createDataFrame(models.importances(models.forest(FEATURES, "target", trees=20, depth=5).fit(train), FEATURES), "feature string, importance double")
 
 
+@R.query()
+def permutation_importances(spark, d):
+    """The fall of average precision when a feature is dealt anew (ML9)."""
+    train, _, rest = _split(_matrix(spark, d))
+    model = models.forest(FEATURES, "target", trees=10, depth=4).fit(train)
+    return spark.createDataFrame(models.permutation_importances(model, rest, FEATURES, "target"), "feature string, fall double")
+
+
+@R.query("""WITH m AS (SELECT id_alarme, median(valor) AS med FROM tel WHERE valor IS NOT NULL GROUP BY 1), o AS (SELECT t.*, med FROM tel t LEFT JOIN m USING (id_alarme)),
+a AS (SELECT id_alarme, median(abs(valor - med)) AS mad FROM o WHERE valor IS NOT NULL GROUP BY 1)
+SELECT id_eventos_telemetria AS id, round((valor - med) / greatest(mad, 1.0), 6) AS z FROM o LEFT JOIN a USING (id_alarme) WHERE abs((valor - med) / greatest(mad, 1.0)) > 50""")
+def robust_outliers(spark, d):
+    """Values far from their alarm's median (ML4's stand-in)."""
+    t = quality.robust_scores(read_table(spark, d, "tel").select("id_eventos_telemetria", "id_alarme", "valor"), ["id_alarme"], "valor")
+    return t.where(F.abs("z") > 50).select(F.col("id_eventos_telemetria").alias("id"), F.round("z", 6).alias("z"))
+
+
 @R.query()
 def time_ordered_search(spark, d):
     """Candidates compared over rolling origins (ML7, C34)."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lavra.functions.text import plain_key
 from lavra.functions.time import bucket_start
-from lavra.operators import encoding, grid
+from lavra.operators import concepts, encoding, grid
 from lavra.plans.registry import Registry
 from lavra.sources import read_table
 
@@ -168,3 +168,43 @@ def error_context(spark, d):
     bins = t.where("tag IS NOT NULL AND data_evento IS NOT NULL").groupBy("tag", bucket_start("data_evento", BIN).alias("bin"), "id_alarme").agg(F.count("*").alias("n"))
     lifted = bins.select("tag", "id_alarme", "n", F.explode(F.array(*[F.col("bin") + F.expr(f"INTERVAL {BIN * k} SECONDS") for k in (1, 2, 3)])).alias("prediction_time"))
     return pos.join(lifted, ["tag", "prediction_time"]).groupBy("tag", "prediction_time", "id_alarme").agg(F.sum("n").alias("n"))
+
+
+FAMILIES = [("freio", ["freio", "brake"]), ("motor", ["motor", "turbo", "fuel"]), ("hidraulica", ["hidraul", "hydraul"])]
+_FAM = "CASE WHEN contains(x, 'freio') OR contains(x, 'brake') THEN 'freio' WHEN contains(x, 'motor') OR contains(x, 'turbo') OR contains(x, 'fuel') THEN 'motor' WHEN contains(x, 'hidraul') OR contains(x, 'hydraul') THEN 'hidraulica' END"
+
+
+@R.query(f"""WITH t AS (SELECT nullif(upper(regexp_replace(tag, '[^\\p{{L}}\\p{{N}}]', '', 'g')), '') AS tag, data_evento, lower(strip_accents(alarme)) AS x FROM tel WHERE regexp_full_match(alarme, '[ -~À-ÖØ-öø-ÿ\\t]*')),
+b AS (SELECT tag, time_bucket(INTERVAL '8 hours', data_evento) AS bin, """ + ", ".join(f"count(*) FILTER (WHERE f = '{n}') AS {n}" for n, _ in FAMILIES) + f""" FROM (SELECT *, {_FAM} AS f FROM t) GROUP BY 1, 2),
+sp AS (SELECT tag, min(bin) AS lo, max(bin) AS hi FROM b GROUP BY 1), gr AS (SELECT tag, CAST(unnest(generate_series(lo, hi, INTERVAL 8 HOUR)) AS TIMESTAMP) AS bin FROM sp),
+dn AS (SELECT tag, bin, """ + ", ".join(f"coalesce({n}, 0) AS {n}" for n, _ in FAMILIES) + """ FROM gr LEFT JOIN b USING (tag, bin)),
+r AS (SELECT tag, bin, row_number() OVER w AS rn, """ + ", ".join(f"CAST(sum({n}) OVER (PARTITION BY tag ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS BIGINT) AS {n}_sum_3, CAST(sum({n}) OVER (PARTITION BY tag ORDER BY bin ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS BIGINT) AS {n}_sum_9" for n, _ in FAMILIES) + ", " + " + ".join(f"lag(CAST({n} > 0 AS INTEGER)) OVER w" for n, _ in FAMILIES) + """ AS juntas
+  FROM dn WINDOW w AS (PARTITION BY tag ORDER BY bin)) SELECT * EXCLUDE (rn) FROM r WHERE rn > 1""")
+def family_activity(spark, d):
+    """Counts by family and 8 hours, their last 24 and 72 hours, and how many families were active at once, seen from before."""
+    t = read_table(spark, d, "tel").where(F.col("alarme").rlike(r"\A[ -~À-ÖØ-öø-ÿ\t]*\z")).select(plain_key("tag").alias("tag"), "data_evento", concepts.by_rules(concepts.ruled_text("alarme"), FAMILIES, "").alias("f"))
+    names = [n for n, _ in FAMILIES]
+    bins = grid.tumbling(t, "tag", "data_evento", BIN, [F.count_if(F.col("f") == n).alias(n) for n in names])
+    full = grid.dense(bins, "tag", BIN, names).withColumn("juntas", sum((F.when(F.col(n) > 0, 1).otherwise(0) for n in names), F.lit(0)))
+    out = grid.trailing(full, "tag", [*names, "juntas"], [1, 3, 9])
+    return out.select("tag", "bin", *[f"{n}_sum_{w}" for n in names for w in (3, 9)], F.col("juntas_sum_1").cast("int").alias("juntas"))
+
+
+_EXPERIMENTS = [(obs, hor) for obs in (8, 24) for hor in (8, 24)]
+
+
+@R.query(f"WITH {_S}, fl AS (SELECT DISTINCT tag, data_evento FROM t WHERE is_dont_go = 1), e AS (SELECT * FROM (VALUES " + ", ".join(f"({o}, {h})" for o, h in _EXPERIMENTS) + """) v(observa, horizonte))
+SELECT CAST(observa AS INTEGER) AS observa, CAST(horizonte AS INTEGER) AS horizonte, count(*) AS amostras,
+  count(*) FILTER (WHERE EXISTS (SELECT 1 FROM fl WHERE fl.tag = s.tag AND fl.data_evento >= prediction_time AND fl.data_evento < prediction_time + INTERVAL 1 HOUR * horizonte)) AS positivas,
+  count(*) FILTER (WHERE EXISTS (SELECT 1 FROM b WHERE b.tag = s.tag AND b.bin >= prediction_time - INTERVAL 1 HOUR * observa AND b.bin < prediction_time)) AS com_eventos
+FROM s, e GROUP BY 1, 2""")
+def experiment_grid(spark, d):
+    """Samples, positives and observed samples for every observation and horizon."""
+    t, bins = _tel(spark, d), _bins(spark, d)
+    out = None
+    for obs, hor in _EXPERIMENTS:
+        s = grid.sample_grid(t, "tag", FIRST, LAST, BIN, obs * 3600, hor * 3600)
+        s = grid.horizon_target(grid.sliding(s, bins, "tag", BIN, obs * 3600, ["n"]), t.where("is_dont_go = 1"), "tag", "data_evento", BIN, hor * 3600)
+        row = s.agg(F.lit(obs).alias("observa"), F.lit(hor).alias("horizonte"), F.count("*").alias("amostras"), F.count_if(F.col("target") == 1).alias("positivas"), F.count_if(F.col("n") > 0).alias("com_eventos"))
+        out = row if out is None else out.unionByName(row)
+    return out

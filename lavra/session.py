@@ -40,6 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_STAGED: list[str] = []
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the tables this process has staged (whose readers must be done with them); the number deleted."""
+    conf = spark._jsc.hadoopConfiguration()
+    done = 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
 def staged(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -50,6 +63,7 @@ def staged(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
     if partitions:
         df = df.coalesce(partitions)
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,3 +1,3 @@
-from lavra.sources.tables import calendar, grid, read_table, scan
+from lavra.sources.tables import calendar, grid, markdown, read_table, scan, small_table, write_report
 
-__all__ = ["calendar", "grid", "read_table", "scan"]
+__all__ = ["calendar", "grid", "markdown", "read_table", "scan", "small_table", "write_report"]

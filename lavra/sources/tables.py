@@ -28,3 +28,37 @@ def calendar(spark: SparkSession, first: Column | str, last: Column | str, step:
 def grid(spans: DataFrame, first: str, last: str, step: str, name: str = "instant") -> DataFrame:
     """For every row of ``spans`` the instants from its ``first`` to its ``last`` column: a dense grid without a cross join."""
     return spans.withColumn(name, F.explode(F.sequence(F.col(first), F.col(last), F.expr(f"INTERVAL {step}"))))
+
+
+def small_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A catalogue or dictionary of driver size: Parquet, CSV with a header, or an Excel sheet where pandas can read one."""
+    if path.endswith((".xlsx", ".xls")):
+        try:
+            import openpyxl  # noqa: F401
+        except ImportError as e:
+            raise RuntimeError("no Excel reader is installed; give the sheet as CSV or Parquet") from e
+        import pandas as pd
+
+        return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet or 0, dtype=str).where(lambda x: x.notna(), None))
+    if path.endswith(".csv"):
+        return spark.read.option("header", "true").option("multiLine", "true").csv(path)
+    return spark.read.parquet(path)
+
+
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A small result as a Markdown table, refused beyond ``most`` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; a report isn't the place for them")
+
+    def cell(v: object) -> str:
+        return "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows]) + "\n"
+
+
+def write_report(path: str, title: str, sections: dict[str, DataFrame]) -> None:
+    """A Markdown report with one table per section."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"# {title}\n" + "".join(f"\n## {name}\n\n{markdown(df)}" for name, df in sections.items()))
