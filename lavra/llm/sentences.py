@@ -22,8 +22,12 @@ sentence. Nothing is cut off: every other character lies in exactly one sentence
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import regex
@@ -36,10 +40,23 @@ _NL = r"(?>\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])"
 _BLANK_LINE = regex.compile(rf"{_NL}\s*?{_NL}\s*|\u2029\s*")
 _LINE = regex.compile(rf"{_NL}[^\S\n\r\x0b\x0c\x85\u2028\u2029]*")
 _MARKER = regex.compile(r"(?P<time>\[\d{1,2}[:.h]\d{2}(?:[:.]\d{2})?\])|(?P<bullet>[•‣◦▪●·*])\s|(?P<dash>[-–—])\s+|(?P<number>\(?\d{1,3}[.)])\s+|(?P<letter>\(?\p{Ll}\))\s+")
-_LETTER = r"[\p{L}\p{M}--[\p{Han}\p{Hiragana}\p{Katakana}]]"
-_WORD_BEFORE = regex.compile(rf"(?:{_LETTER}+\.)*{_LETTER}+$", regex.V1)
-_CHAIN_BEFORE = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{_LETTER}\.\s?)+{_LETTER}$", regex.V1)
-_PLAIN = regex.compile(r"(?<![\p{L}\p{M}\p{N}_.'’])([\p{L}\p{M}]+)(?=[^\S\n\r][\p{L}\p{N}])")
+_CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+
+
+def _ranges(kinds: str) -> str:
+    """A character class of all code points whose category starts with one of ``kinds``."""
+    out = []
+    for yes, run in groupby(range(sys.maxunicode + 1), lambda c: unicodedata.category(chr(c))[0] in kinds):
+        if yes:
+            codes = list(run)
+            out.append(f"{re.escape(chr(codes[0]))}-{re.escape(chr(codes[-1]))}")
+    return "".join(out)
+
+
+_LM, _LMN = _ranges("LM"), _ranges("LMN")
+_PLAIN = re.compile(rf"(?<![{_LMN}_.'’])([{_LM}]+)(?=[^\S\n\r][{_LMN}])")
+_CHAIN_BEFORE = regex.compile(r"(?<![\p{L}\p{M}\p{N}])(?:[\p{L}\p{M}]\.\s?)+[\p{L}\p{M}]$")
+_NAME_AHEAD = regex.compile(r"\p{Lu}[\p{L}\p{M}]+")
 _NAME = regex.compile(r"(?<=\p{Ll}[ \t])(\p{Lu}[\p{L}\p{M}]+)")
 _OPEN = "“„«「『（(〔[{《〈【‹"
 _CLOSE = "”»」』）)〕]}》〉】›"
@@ -47,8 +64,7 @@ _PAIR = dict(zip("”»」』）)〕]}》〉】›", "“«「『（(〔[{《〈
 _MARKS = ".!?。！？．｡؟۔।॥…⋯"
 _FINAL = set("!?。！？．｡؟۔।॥")
 _THAI = r"[ก-ฺเ-๎]"
-_EVENT = regex.compile(rf"[{regex.escape(_MARKS)}]+|[\"{regex.escape(_OPEN + _CLOSE)}]|(?<={_THAI})[^\S\n\r]+(?={_THAI})")
-_CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_EVENT = re.compile(rf"[{re.escape(_MARKS)}]+|[\"{re.escape(_OPEN + _CLOSE)}]|(?<={_THAI})[^\S\n\r]+(?={_THAI})")
 _CONTINUES = set(",;:،；，、：-–—/")
 
 #: Abbreviations that are never final, that may be, and words that with a period announce a number.
@@ -97,28 +113,29 @@ def _block_items(text: str, at: int, end: int) -> Iterator[tuple[int, int, int]]
         yield s, c, nxt[0]
 
 
-def _pairs(text: str, s: int, e: int) -> dict[int, int]:
-    """Closing place of every quotation or bracket that is closed within the item."""
+def _pairs(events: list[tuple[int, str]]) -> dict[int, int]:
+    """Closing place of every quotation or bracket that is closed among an item's events."""
     out: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
-    for m in _EVENT.finditer(text, s, e):
-        ch = m.group()
+    for at, ch in events:
+        if ch[0] in _MARKS:
+            continue
         if ch == '"':
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == '"'), None)
             if k is None:
-                stack.append((ch, m.start()))
+                stack.append((ch, at))
                 continue
         elif ch == "“" and any(x == "„" for x, _ in stack):
             k = max(i for i, x in enumerate(stack) if x[0] == "„")
         elif ch in _PAIR:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == _PAIR[ch]), None)
         elif len(ch) == 1 and ch in _OPEN:
-            stack.append((ch, m.start()))
+            stack.append((ch, at))
             continue
         else:
             continue
         if k is not None:
-            out[stack[k][1]] = m.start()
+            out[stack[k][1]] = at
             del stack[k:]
     return out
 
@@ -140,9 +157,27 @@ def _ahead(text: str, at: int, end: int) -> str:
     return "x"
 
 
+class _WordChars(dict):
+    """Whether a character can stand in a word before a period: a letter or mark, but not of Chinese or Japanese."""
+
+    def __missing__(self, ch: str) -> bool:
+        out = self[ch] = unicodedata.category(ch)[0] in "LM" and not _CJK.match(ch)
+        return out
+
+
+_IN_WORD = _WordChars()
+
+
 def _word(text: str, s: int, p: int) -> str:
-    m = _WORD_BEFORE.search(text, max(s, p - 40), p)
-    return m.group() if m else ""
+    """The word that ends at ``p``, with the periods inside it (at most 40 characters are looked at)."""
+    low = max(s, p - 40)
+    k = p
+    while k > low:
+        ch = text[k - 1]
+        if not _IN_WORD[ch] and not (ch == "." and k < p and text[k] != "." and k - 1 > low and _IN_WORD[text[k - 2]]):
+            break
+        k -= 1
+    return text[k:p]
 
 
 class _Document:
@@ -170,10 +205,11 @@ class _Document:
 def _period_ends(doc: _Document, text: str, s: int, p: int, end: int, known: dict[str, str]) -> bool:
     """Whether the single period at ``p`` ends a sentence."""
     nxt = text[p + 1 : p + 2]
+    joined = nxt and not nxt.isspace() and nxt not in _OPEN and nxt not in _CLOSE and nxt != '"'
+    if joined and (not nxt.isupper() or text[p + 2 : p + 3] == "."):
+        return False
     word = _word(text, s, p)
-    if nxt and not nxt.isspace() and nxt not in _OPEN and nxt not in _CLOSE and nxt != '"':
-        if not nxt.isupper() or text[p + 2 : p + 3] == ".":
-            return False
+    if joined:
         # A missing blank: a word in lower case or a number, then a capitalised word.
         before = text[p - 1 : p]
         if not (before.islower() or before.isdigit() or before in ")”»\"") or "." in word or (len(word) == 1):
@@ -187,8 +223,8 @@ def _period_ends(doc: _Document, text: str, s: int, p: int, end: int, known: dic
         return True
     if not word:
         return ahead != "c"
-    chain = _CHAIN_BEFORE.search(text, max(s, p - 24), p)
     single = len(word) == 1
+    chain = single and text[p - 2 : p - 1] in (".", " ", "\n") and _CHAIN_BEFORE.search(text, max(s, p - 24), p)
     if single and word.isupper():
         rest = text[p + 1 : p + 6].lstrip()
         if rest[1:2] == "." and rest[:1].isupper():
@@ -206,14 +242,15 @@ def _period_ends(doc: _Document, text: str, s: int, p: int, end: int, known: dic
         kind = None
     if "." in word or (chain and word.islower()):
         kind = kind or MAYBE
-    elif not single and doc.is_plain(word):
-        kind = None
-    elif kind is None and not single and doc.is_short_form(word):
-        kind = MAYBE
-    elif kind is None and word[0].isupper() and not single and len(word) <= 4 and ahead == "U":
-        m = regex.compile(r"\p{Lu}[\p{L}\p{M}]+").match(text, p + 2)
-        if m and doc.is_name(m.group()) and not doc.is_plain(m.group().lower()) and not any(c.isupper() for c in word[1:]):
-            kind = NEVER
+    elif not single:
+        if kind is not None:
+            kind = None if doc.is_plain(word) else kind
+        elif doc.is_short_form(word):
+            kind = None if doc.is_plain(word) else MAYBE
+        elif ahead == "U" and len(word) <= 4 and word[0].isupper() and not any(c.isupper() for c in word[1:]):
+            m = _NAME_AHEAD.match(text, p + 2)
+            if m and doc.is_name(m.group()) and not doc.is_plain(word) and not doc.is_plain(m.group().lower()):
+                kind = NEVER
     if kind == NEVER:
         return False
     if kind == MAYBE:
@@ -228,22 +265,22 @@ def sentences(text: str | None, known: dict[str, str]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     doc = _Document(text)
     for s, content, e in items(text):
-        pairs = _pairs(text, content, e)
+        events = [(m.start(), m.group()) for m in _EVENT.finditer(text, content, e)]
+        pairs = _pairs(events)
         closers = set(pairs.values())
         start, begun, skip = s, content, content
-        for m in _EVENT.finditer(text, content, e):
-            p, mark = m.start(), m.group()
+        for p, mark in events:
             if p < skip:
                 continue
             if mark.isspace():
                 out.append((start, p))
-                start = begun = skip = m.end()
+                start = begun = skip = p + len(mark)
                 continue
             if mark[0] not in _MARKS:
                 if p in pairs and any(c.isalnum() for c in text[begun:p]):
                     skip = pairs[p] + 1  # opened within the sentence: it stays whole
                 continue
-            r = m.end()
+            r = p + len(mark)
             if not _FINAL.isdisjoint(mark):
                 nxt = text[r : r + 1]
                 ends = not ((nxt.isdigit() or nxt == "=" or (nxt.isascii() and nxt.islower())) and not text[p - 1 : p].isspace())
@@ -277,18 +314,21 @@ def sentences(text: str | None, known: dict[str, str]) -> list[tuple[int, int]]:
     return trimmed
 
 
-_SEEN = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_.])((?:{_LETTER}+\.)*{_LETTER}+)\.(?![\p{{L}}\p{{N}}.…])", regex.V1)
-
-
 def evidence(text: str, counts: Counter) -> None:
     """Add the contexts of the text's words before single periods, outside quotations, and of words without one."""
     for s, content, e in items(text):
-        quotes = [(a, b) for a, b in _pairs(text, content, e).items() if text[a] not in "([{（"]
-        for m in _SEEN.finditer(text, content, e):
-            if not any(a < m.start() < b for a, b in quotes):
-                counts[m.group(1), _ahead(text, m.end(), e)] += 1
-    for w in _PLAIN.findall(text):
-        counts[w, "n"] += 1
+        p = text.find(".", content, e)
+        if p < 0:
+            continue
+        quotes = [(a, b) for a, b in _pairs([(m.start(), m.group()) for m in _EVENT.finditer(text, content, e)]).items() if text[a] not in "([{（"]
+        while p >= 0:
+            nxt = text[p + 1 : p + 2]
+            if not (nxt.isalnum() or nxt in (".", "…")) and (w := _word(text, content, p)):
+                before = text[p - len(w) - 1 : p - len(w)]
+                if not (before.isdigit() or before in ("_", ".")) and not any(a < p < b for a, b in quotes):
+                    counts[w, _ahead(text, p + 1, e)] += 1
+            p = text.find(".", p + 1, e)
+    counts.update((w, "n") for w in _PLAIN.findall(text))
 
 
 def word_kinds(df: DataFrame, text_col: str) -> DataFrame:
