@@ -53,8 +53,7 @@ def _ranges(kinds: str) -> str:
     return "".join(out)
 
 
-_LM, _LMN = _ranges("LM"), _ranges("LMN")
-_PLAIN = re.compile(rf"(?<![{_LMN}_.'’])([{_LM}]+)(?=[^\S\n\r][{_LMN}])")
+_LETTERS = re.compile(rf"[{_ranges('LM')}]+")
 _CHAIN_BEFORE = regex.compile(r"(?<![\p{L}\p{M}\p{N}])(?:[\p{L}\p{M}]\.\s?)+[\p{L}\p{M}]$")
 _NAME_AHEAD = regex.compile(r"\p{Lu}[\p{L}\p{M}]+")
 _NAME = regex.compile(r"(?<=\p{Ll}[ \t])(\p{Lu}[\p{L}\p{M}]+)")
@@ -180,6 +179,15 @@ def _word(text: str, s: int, p: int) -> str:
     return text[k:p]
 
 
+def _plain_words(text: str) -> list[str]:
+    """The words that stand without a period within a line: letters only, a letter or digit after the blank."""
+    out = []
+    for line in text.splitlines():
+        tokens = line.split()
+        out += [a for a, b in zip(tokens, tokens[1:]) if (a.isalpha() or (not a.isascii() and _LETTERS.fullmatch(a))) and b[0].isalnum()]
+    return out
+
+
 class _Document:
     """What a document says of its own words, worked out when first asked."""
 
@@ -190,7 +198,7 @@ class _Document:
 
     def is_plain(self, word: str) -> bool:
         if self._plain is None:
-            self._plain = set(_PLAIN.findall(self.text))
+            self._plain = set(_plain_words(self.text))
         return word in self._plain
 
     def is_name(self, word: str) -> bool:
@@ -328,7 +336,7 @@ def evidence(text: str, counts: Counter) -> None:
                 if not (before.isdigit() or before in ("_", ".")) and not any(a < p < b for a, b in quotes):
                     counts[w, _ahead(text, p + 1, e)] += 1
             p = text.find(".", p + 1, e)
-    counts.update((w, "n") for w in _PLAIN.findall(text))
+    counts.update((w, "n") for w in _plain_words(text))
 
 
 def word_kinds(df: DataFrame, text_col: str) -> DataFrame:
