@@ -23,13 +23,14 @@ documents the mixture is empty and reached shares are null.
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +42,16 @@ from lavra.session import staged
 
 BUCKETS = 8192
 ORDER_BUCKETS = 4096
-_WORD = regex.compile(r"[\p{L}\p{M}]+|\p{N}")
+HELD_WORDS = 200_000
+_WORD = re.compile(r"[^\W\d_]+|\d")
 
 
-def _features(text: str) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for w in _WORD.findall(text.lower()):
-        b = xxhash.xxh32_intdigest(w) % BUCKETS
-        out[b] = out.get(b, 0) + 1
-    return out
+def _words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def _bucket(word: str) -> int:
+    return xxhash.xxh32_intdigest(word) % BUCKETS
 
 
 @dataclass
@@ -61,7 +63,7 @@ class Posterior:
 
     def __call__(self, text: str) -> list[float]:
         """The posterior over the sources. Words of one text aren't independent: their evidence is damped by its root."""
-        found = _features(text)
+        found: Counter = Counter(map(_bucket, _words(text)))
         score = self.prior.copy()
         if found:
             n = np.array(list(found.values()), float)
@@ -75,11 +77,20 @@ def fit_posterior(df: DataFrame, sources: int) -> Posterior:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, docs = np.zeros((sources, BUCKETS), np.int64), np.zeros(sources, np.int64)
+        held: list[Counter] = [Counter() for _ in range(sources)]
+
+        def empty() -> None:  # words are counted as they are and hashed once
+            for s, words in enumerate(held):
+                np.add.at(table[s], [_bucket(w) for w in words], list(words.values()))
+                words.clear()
+
         for b in batches:
             for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 docs[s] += 1
-                for k, n in _features(t).items():
-                    table[s, k] += n
+                held[s].update(_words(t))
+            if sum(map(len, held)) > HELD_WORDS:
+                empty()
+        empty()
         s, k = np.nonzero(table)
         src = np.concatenate([s, np.arange(sources)])
         bucket = np.concatenate([k, np.full(sources, -1)])
