@@ -27,10 +27,12 @@ def block_of(ts: Column | str, seconds: int = BLOCK_SECONDS) -> Column:
 
 
 def _join_blocks(df: DataFrame, blocks: DataFrame, keys: Sequence[str], block: str) -> DataFrame:
-    on = df[block] == blocks[block]
+    names = {c: f"_lv_k{i}" for i, c in enumerate([*keys, block])}
+    blocks = blocks.withColumnsRenamed(names)
+    on = F.col(block) == F.col(names[block])
     for k in keys:
-        on = on & df[k].eqNullSafe(blocks[k])
-    return df.join(blocks, on).drop(*[blocks[c] for c in [*keys, block]])
+        on = on & F.col(k).eqNullSafe(F.col(names[k]))
+    return df.join(blocks, on).drop(*names.values())
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], cols: Sequence[str], prefix: str = "prev_") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lavra.functions.stats import quantile
+from lavra.operators.chained import with_running_sum
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -79,26 +80,28 @@ def best(curve: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFr
     return curve.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def _points(df: DataFrame, label: str, score: str, by: Sequence[str]) -> tuple[DataFrame, Window]:
-    per = scored(df, label, score).groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_q"))
-    return per, Window.partitionBy(*by).orderBy(F.desc("_s"))
+SCORE_BLOCKS = 4096
+
+
+def _points(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
+    """Positives and others of each distinct score, with those at or above it: sums run within blocks of the score's
+    range and from block to block, so no task holds all scores of a group. Scores are probabilities."""
+    per = scored(df, label, score).groupBy(*by, (-F.col(score)).alias("_o")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_q"))
+    per = per.withColumn("_blk", F.floor(F.col("_o") * SCORE_BLOCKS)).withColumn("_n", F.col("_p") + F.col("_q"))
+    per = with_running_sum(per, list(by), "_blk", ["_o"], "_p", "_tp")
+    return with_running_sum(per, list(by), "_blk", ["_o"], "_n", "_k")
 
 
 def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
     """Sum over the scores, from the highest, of the recall each adds times the precision reached with it."""
-    per, w = _points(df, label, score, by)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    tp, n = F.sum("_p").over(run), F.sum(F.col("_p") + F.col("_q")).over(run)
-    pts = per.withColumn("_part", F.col("_p") * tp / n)
-    return pts.groupBy(*by).agg(_ratio(F.sum("_part"), F.sum("_p")).alias("average_precision"), F.sum("_p").alias("positives"))
+    part = F.sum(F.col("_p") * F.col("_tp") / F.col("_k"))
+    return _points(df, label, score, by).groupBy(*by).agg(_ratio(part, F.sum("_p")).alias("average_precision"), F.sum("_p").alias("positives"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
     """The chance that a positive scores above a negative, ties counting half; null for a single class."""
-    per, w = _points(df, label, score, by)
-    above = F.coalesce(F.sum("_p").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pts = per.withColumn("_u", F.col("_q") * (above + F.col("_p") / 2))
-    return pts.groupBy(*by).agg(F.try_divide(F.sum("_u"), (F.sum("_p") * F.sum("_q")).cast("double")).alias("roc_auc"))
+    u = F.sum(F.col("_q") * (F.col("_tp") - F.col("_p") / 2))
+    return _points(df, label, score, by).groupBy(*by).agg(F.try_divide(u, (F.sum("_p") * F.sum("_q")).cast("double")).alias("roc_auc"))
 
 
 def brier_logloss(df: DataFrame, label: str, score: str, by: Sequence[str], eps: float = 1e-15) -> DataFrame:

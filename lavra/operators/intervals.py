@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lavra.functions.time import micros, millis
-from lavra.operators.chained import block_of
+from lavra.operators.chained import block_of, with_previous
 
 BUCKET_SECONDS = 86_400
 
@@ -99,9 +99,13 @@ def asof(left: DataFrame, right: DataFrame, entity: str, left_ts: str, right_ts:
 
 
 def overlaps_with_previous(intervals: DataFrame, entity: str, start: str, end: str, id_col: str, state: str) -> DataFrame:
-    """Intervals that start before the one before them (by start, end, id) has ended, with that one and the overlap."""
-    w = Window.partitionBy(entity).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end), id_col)
-    out = intervals.select(entity, id_col, start, end, state, *[F.lag(c).over(w).alias(f"prev_{c}") for c in (id_col, end, state)])
+    """Intervals that start before the one before them (by start, end, id) has ended, with that one and the overlap.
+
+    Intervals without a start come last in that order and overlap nothing; a missing end comes after all others.
+    """
+    rows = intervals.select(entity, id_col, start, end, state).where(F.col(start).isNotNull())
+    rows = rows.withColumn("_blk", block_of(start)).withColumn("_end", F.coalesce(micros(end), F.lit(1 << 62)))
+    out = with_previous(rows, [entity], "_blk", [start, "_end", id_col], [id_col, end, state]).drop("_blk", "_end")
     return out.where(F.col(start) < F.col(f"prev_{end}")).withColumn("overlap_s", (millis(f"prev_{end}") - millis(start)) / F.lit(1000.0))
 
 
