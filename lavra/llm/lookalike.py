@@ -35,6 +35,8 @@ GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "αικνορυϲϳ", "ABEZHIKMN
 ARMENIAN = dict(zip("ՍՏՕԼ" "հոսօցզ", "USOL" "hnuogq"))
 CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEHJKLMPRSTVWZ"))
 LATIN_ODD = dict(zip("ıɑɡɩ", "iagi"))
+# Small letters whose capitals look like Latin ones; within a token of Latin letters they stand for them.
+SMALL_CAPITALS = dict(zip("вкмнт", "bkmht"))
 # Punctuation that looks like basic Latin punctuation.
 PUNCTUATION = dict(zip("‐‑−˗⁃∕⁄∶꞉", "-----//::"))
 
@@ -43,6 +45,7 @@ _OF_SCRIPT = {"Cyrl": CYRILLIC, "Grek": GREEK, "Armn": ARMENIAN, "Cher": CHEROKE
 #: For each script its letter that looks like a Latin one.
 FROM_LATIN = {s: {v: k for k, v in reversed(t.items())} for s, t in _OF_SCRIPT.items()}
 
+_LATIN = frozenset({"Latn"})
 _SCRIPTS = {
     "Latn": "Latin", "Grek": "Greek", "Cyrl": "Cyrillic", "Armn": "Armenian", "Cher": "Cherokee", "Hani": "Han", "Hira": "Hiragana", "Kana": "Katakana", "Hang": "Hangul", "Bopo": "Bopomofo",
     "Arab": "Arabic", "Hebr": "Hebrew", "Deva": "Devanagari", "Thai": "Thai",
@@ -101,6 +104,9 @@ def _is_sign(token: str) -> bool:
 def _spelled(token: str, shown: set[str], latin: bool) -> str:
     """The token in the one script it is meant in."""
     have = token_scripts(token)
+    if have is not None and not have and any(ch in SMALL_CAPITALS for ch in token) and any(scripts(ch) == _LATIN for ch in token):
+        if all(ch in TO_LATIN or ch in SMALL_CAPITALS or scripts(ch) is None or "Latn" in scripts(ch) for ch in token):
+            return "".join(TO_LATIN.get(ch) or SMALL_CAPITALS.get(ch, ch) for ch in token)
     foreign = [ch for ch in token if ch in TO_LATIN]
     if not foreign or _is_sign(token):
         if have is not None and not have:  # Latin letters among letters that look like no Latin one
@@ -150,7 +156,7 @@ def _analysed(text: str) -> tuple[str, bool]:
     if not latin:  # tokens that mix scripts but can be Latin show a Latin text as well
         latin = any(not token_scripts(t) and token_scripts(t) is not None and all(ch in TO_LATIN or scripts(ch) is None or "Latn" in scripts(ch) for ch in t) for t in tokens)
     spelled = _TOKEN.sub(lambda m: _spelled(m.group(), shown, latin), parts)
-    found = odd or any(a != b and a in TO_LATIN for a, b in zip(parts, spelled))
+    found = odd or any(a != b and (a in TO_LATIN or a in SMALL_CAPITALS) for a, b in zip(parts, spelled))
     return unicodedata.normalize("NFC", " ".join(spelled.split())), found
 
 

@@ -52,6 +52,7 @@ def test_tokens_that_stay():
     assert L.token_scripts("ΔP") == frozenset() and L.token_scripts("AR") == frozenset({"Latn"})
     assert "Jpan" in L.token_scripts("冷却レベル")
     assert L.analysed("ΔP АR") == ("ΔP AR", True)
+    assert L.analysed("кabine 10 кВт") == ("kabine 10 кВт", True)
     assert L.analysed("5 m², 1ª, ½, 20 ℃, µm") == ("5 m², 1ª, ½, 20 ℃, µm", False)
 
 
