@@ -6,7 +6,9 @@ group DuckDB runs one backward and one forward ASOF join by entity and tile, and
 tolerance is kept.
 
 A tile that holds more than ``tile_rows`` left rows is dealt out in salts, its right rows repeated to each; such tiles
-are at most 1 / tile_rows of the left rows. Right rows of one entity and time are reduced to the first by ``right_id``
+are at most 1 / tile_rows of the left rows. The tiles are made as short as the fullest tile of right rows needs to stay
+within ``tile_rows`` (twice the tolerance is the least), and there are as many groups as it takes for a group to hold
+about ``GROUP_ROWS``; both are counted first. Right rows of one entity and time are reduced to the first by ``right_id``
 before they are shuffled: no other of them can be an answer.
 
 Exactly the tolerance counts. If two are equally near, the earlier time wins, then the smaller id. Rows with a null
@@ -26,6 +28,7 @@ from lavra.functions.time import micros
 
 TILE_SECONDS = 24 * 3600
 TILE_ROWS = 100_000
+GROUP_ROWS = 500_000
 
 _ASOF = """
 WITH back AS (SELECT l.id AS left_id, r.id AS right_id, r.us AS us, l.us - r.us AS off
@@ -46,10 +49,12 @@ def _matcher(tolerance_us: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             return schema.empty_table()
         import duckdb
 
-        with duckdb.connect(config={"threads": 1, "memory_limit": "512MB"}) as con:
+        # Groups are small by construction, so nothing needs to spill to a folder of the machine.
+        with duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""}) as con:
             con.register("l", left)
             con.register("r", right)
-            out = con.execute(_ASOF.format(tolerance=tolerance_us)).to_arrow_table()
+            done = con.execute(_ASOF.format(tolerance=tolerance_us))
+            out = done.to_arrow_table() if hasattr(done, "to_arrow_table") else done.fetch_arrow_table()
         return out.cast(schema)
 
     return match
@@ -62,11 +67,13 @@ def nearest(
     """(left_id, right_id, off_us): the nearest right row of each left row; left ids are unique. Pairs of columns are (left, right)."""
     spark = left.sparkSession
     tolerance = tolerance_s * 1_000_000
-    tile_us = max(tile_s * 1_000_000, 2 * tolerance)
-    groups = groups or max(4, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     lt = left.select(entity[0].alias("entity"), micros(ts[0]).alias("us"), ids[0].cast("long").alias("id")).na.drop()
     rt = right.select(entity[1].alias("entity"), micros(ts[1]).alias("us"), ids[1].cast("long").alias("id")).na.drop()
     rt = rt.groupBy("entity", "us").agg(F.min("id").alias("id"))
+    per = rt.groupBy("entity", F.floor(F.col("us") / F.lit(tile_s * 1_000_000)).alias("at")).agg(F.count("*").alias("n"))
+    most, right_rows = per.agg(F.max("n"), F.sum("n")).first()
+    tile_us = max(tile_s * 1_000_000 * tile_rows // max(tile_rows, most or 0), 2 * tolerance)
+    groups = groups or max(4, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (lt.count() + 2 * (right_rows or 0)) // GROUP_ROWS)
     lt = lt.withColumn("at", F.floor(F.col("us") / F.lit(tile_us)))
     reach = F.array_distinct(F.array(*[F.floor((F.col("us") + d) / F.lit(tile_us)) for d in (-tolerance, 0, tolerance)]))
     rt = rt.withColumn("at", F.explode(reach))
