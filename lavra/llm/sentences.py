@@ -218,11 +218,11 @@ def _period_ends(doc: _Document, text: str, s: int, p: int, end: int, known: dic
         return False
     word = _word(text, s, p)
     if joined:
-        # A missing blank: a word in lower case or a number, then a capitalised word.
-        before = text[p - 1 : p]
-        if not (before.islower() or before.isdigit() or before in ")”»\"") or "." in word or (len(word) == 1):
-            return False
-        return known.get(word) is None
+        # A missing blank: a word in lower case, a number or an abbreviation that may be final, then a capital.
+        kind, before = known.get(word), text[p - 1 : p]
+        if kind == MAYBE:
+            return True
+        return kind is None and len(word) != 1 and "." not in word and (before.islower() or before.isdigit() or before in ")”»\"")
     k = p + 1
     while k < end and (text[k] in _CLOSE or text[k] == '"'):
         k += 1

@@ -19,6 +19,7 @@ CASES = [
     "O motor (ver anexo 3. Não urgente.) parou.| Fim",
     "“Tudo bem.”| Outro.",
     "fim do turno.Hoje cedo parou.".replace(".Hoje", ".|Hoje"),
+    "A peça veio da Vedaflux Ltda.Hoje cedo, do S.A. que".replace(".Hoje", ".|Hoje"),
     "o motor parou. o rádio chia muito?! ok".replace(". o", ".| o").replace("?! ok", "?!| ok"),
     "[13:07] OP_1: Quem saiu??\n|[17:22] OP_2: eu.| Já volto",
     "- um item\n|- Outro. Mais".replace(". Mais", ".| Mais"),
