@@ -42,6 +42,7 @@ def class_weights(spark, d):
 
 
 def _split(m):
+    """Training, calibration and remaining rows. Models of a single class aren't fitted: their queries give no rows."""
     return m.where("periodo = 'treino'"), m.where("periodo = 'calibracao'"), m.where("periodo IN ('validacao', 'teste')")
 
 
@@ -49,6 +50,8 @@ def _split(m):
 def forest_scores(spark, d):
     """A weighted random forest trained on the first period (ML2)."""
     train, _, rest = _split(_matrix(spark, d))
+    if models.single_class(train, "target"):
+        return spark.createDataFrame([], "sample_id long, periodo string, target double, score double")
     model = models.forest(FEATURES, "target", trees=20, depth=5, weight="weight").fit(models.balanced_weight(train, "target"))
     return models.score(model, rest).select("sample_id", "periodo", "target", "score")
 
@@ -57,6 +60,8 @@ def forest_scores(spark, d):
 def calibrated_scores(spark, d):
     """Boosted trees with logistic and monotone calibration on the period between (ML3, ML6)."""
     train, cal, rest = _split(_matrix(spark, d))
+    if models.single_class(train, "target"):
+        return spark.createDataFrame([], "sample_id long, periodo string, target double, score double, score_platt double, score_isotonic double")
     model = models.boosted(FEATURES, "target", rounds=5, depth=3).fit(train)
     cal = models.score(model, cal)
     out = models.isotonic(cal, "target", "score")(models.platt(cal, "target", "score")(models.score(model, rest)))
@@ -67,6 +72,8 @@ def calibrated_scores(spark, d):
 def forest_importances(spark, d):
     """Feature importances (ML8)."""
     train, _, _ = _split(_matrix(spark, d))
+    if models.single_class(train, "target"):
+        return spark.createDataFrame([], "feature string, importance double")
     return spark.createDataFrame(models.importances(models.forest(FEATURES, "target", trees=20, depth=5).fit(train), FEATURES), "feature string, importance double")
 
 
@@ -74,6 +81,8 @@ def forest_importances(spark, d):
 def permutation_importances(spark, d):
     """The fall of average precision when a feature is dealt anew (ML9)."""
     train, _, rest = _split(_matrix(spark, d))
+    if models.single_class(train, "target"):
+        return spark.createDataFrame([], "feature string, fall double")
     model = models.forest(FEATURES, "target", trees=10, depth=4).fit(train)
     return spark.createDataFrame(models.permutation_importances(model, rest, FEATURES, "target"), "feature string, fall double")
 

@@ -197,13 +197,13 @@ def last_prior_window(spark, d):
 
 
 @R.query(f"""WITH {_AP}, {_FLAGGED}, {_MAINTENANCE}, j AS (SELECT f.id, epoch_us(r.ts) - epoch_us(f.ts) AS us FROM f ASOF LEFT JOIN r ON f.tag = r.tag AND f.ts <= r.ts)
-SELECT CAST(h AS INTEGER) AS horas, count(*) AS n, count(*) FILTER (WHERE us < h * 3600000000) AS ligados, round(count(*) FILTER (WHERE us < h * 3600000000) / count(*)::DOUBLE, 9) AS taxa FROM j, (VALUES (1), (4), (8), (24)) v(h) GROUP BY 1""")
+SELECT CAST(h AS INTEGER) AS horas, count(*) AS n, count(*) FILTER (WHERE us < h * 3600000000) AS ligados, round(count(*) FILTER (WHERE us < h * 3600000000) / nullif(count(*), 0)::DOUBLE, 9) AS taxa FROM j, (VALUES (1), (4), (8), (24)) v(h) GROUP BY 1""")
 def linkage_rates(spark, d):
     """The share of flagged events followed by maintenance within several windows, from one as-of join."""
     out = intervals.asof(_flagged(spark, d), _ap(spark, d).where("estado = 'manutencao'"), "tag", "ts", "inicio", "id", "id")
     us = micros("match_ts") - micros("ts")
     one = out.agg(F.count("*").alias("n"), *[F.count_if(us < h * 3_600_000_000).alias(f"h{h}") for h in (1, 4, 8, 24)])
-    rows = F.array(*[F.struct(F.lit(h).alias("horas"), F.col("n"), F.col(f"h{h}").alias("ligados"), F.round(F.col(f"h{h}") / F.col("n"), 9).alias("taxa")) for h in (1, 4, 8, 24)])
+    rows = F.array(*[F.struct(F.lit(h).alias("horas"), F.col("n"), F.col(f"h{h}").alias("ligados"), F.round(F.try_divide(F.col(f"h{h}"), F.col("n")), 9).alias("taxa")) for h in (1, 4, 8, 24)])
     return one.select(F.inline(rows))
 
 
