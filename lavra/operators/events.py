@@ -39,20 +39,35 @@ def gaps(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, carry: Sequen
     return out.withColumn("gap_ms", millis(ts) - millis(f"prev_{ts}"))
 
 
-def sessions(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, gap_s: float, aggregates: Sequence[Column] = (), carry: Sequence[str] = ()) -> DataFrame:
-    """One row per session of each key: a row starts a new one if it is the key's first or more than ``gap_s`` after the one before."""
-    g = gaps(df, keys, ts, id_col, carry)
-    starts = F.col("gap_ms").isNull() | (F.col("gap_ms") > int(gap_s * 1000))
-    numbered = with_running_sum(g.withColumn("_start", starts.cast("int")), keys, "_blk", [ts, id_col], "_start", "session")
+def _instants(df: DataFrame, keys: Sequence[str], ts: str, aggregates: Sequence[Column] = ()) -> DataFrame:
+    """One row per key and instant: rows at one instant have no gap between them, so however many there are, they are
+    combined before anything is ordered."""
+    rows = df.where(F.col(ts).isNotNull()).na.drop(subset=list(keys))
+    return rows.groupBy(*keys, ts).agg(F.count("*").alias("_n"), *aggregates).withColumn("_blk", block_of(ts))
+
+
+def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_s: float, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None) -> DataFrame:
+    """One row per session of each key: a row starts a new one if it is the key's first or more than ``gap_s`` after the one before.
+
+    ``n`` counts rows; ``sums`` and ``maxima`` name further columns over the session's rows.
+    """
+    sums, maxima = sums or {}, maxima or {}
+    first = [F.sum(c).alias(f"_s_{n}") for n, c in sums.items()] + [F.max(c).alias(f"_m_{n}") for n, c in maxima.items()]
+    inst = with_previous(_instants(df, keys, ts, first), keys, "_blk", [ts], [ts])
+    gap = millis(ts) - millis(f"prev_{ts}")
+    starts = (F.col(f"prev_{ts}").isNull() | (gap > int(gap_s * 1000))).cast("int")
+    numbered = with_running_sum(inst.withColumn("_start", starts), keys, "_blk", [ts], "_start", "session")
     return numbered.groupBy(*keys, "session").agg(
-        F.min(ts).alias("start"), F.max(ts).alias("end"), (millis(F.max(ts)) - millis(F.min(ts))).alias("duration_ms"), F.count("*").alias("n"), *aggregates
-    )
+        F.min(ts).alias("start"), F.max(ts).alias("end"), (millis(F.max(ts)) - millis(F.min(ts))).alias("duration_ms"), F.sum("_n").alias("n"),
+        *[F.sum(f"_s_{n}").alias(n) for n in sums], *[F.max(f"_m_{n}").alias(n) for n in maxima],
+    )
 
 
-def sessions_by_gap(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, gaps_s: Sequence[float]) -> DataFrame:
+def sessions_by_gap(df: DataFrame, keys: Sequence[str], ts: str, gaps_s: Sequence[float]) -> DataFrame:
     """(gap_s, sessions) without making any session: first rows plus gaps beyond each threshold."""
-    g = gaps(df, keys, ts, id_col)
-    wide = g.agg(*[F.count_if(F.col("gap_ms").isNull() | (F.col("gap_ms") > int(s * 1000))).alias(f"g{i}") for i, s in enumerate(gaps_s)])
+    inst = with_previous(_instants(df, keys, ts), keys, "_blk", [ts], [ts])
+    gap = millis(ts) - millis(f"prev_{ts}")
+    wide = inst.agg(*[F.count_if(F.col(f"prev_{ts}").isNull() | (gap > int(s * 1000))).alias(f"g{i}") for i, s in enumerate(gaps_s)])
     rows = F.array(*[F.struct(F.lit(s).alias("gap_s"), F.col(f"g{i}").alias("sessions")) for i, s in enumerate(gaps_s)])
     return wide.select(F.inline(rows))
 

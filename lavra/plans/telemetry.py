@@ -59,8 +59,8 @@ s AS (SELECT {keys}, CAST(session AS BIGINT) AS session, min(data_evento) AS sta
 
 
 def _sessions(spark, d, gap_s, keys=("tag", "id_alarme")):
-    flag = F.max(F.when(F.col("is_dont_go") == 1, 1).otherwise(0)).alias("dont_go")
-    return events.sessions(_tel(spark, d), list(keys), TS, ID, gap_s, [flag], ["is_dont_go"])
+    flag = F.when(F.col("is_dont_go") == 1, 1).otherwise(0)
+    return events.sessions(_tel(spark, d), list(keys), TS, gap_s, maxima={"dont_go": flag})
 
 
 @R.query(f"WITH {_sessions_sql(900_000)} SELECT * FROM s")
@@ -78,7 +78,7 @@ def sessionize_by_tag(spark, d):
 @R.query(f"""WITH {_GAPS} SELECT CAST(t AS INTEGER) AS gap_s, count(*) FILTER (WHERE gap_ms IS NULL OR gap_ms > t * 1000) AS sessions FROM g, (VALUES (30), (60), (120), (300), (900), (3600), (86400)) v(t) GROUP BY 1""")
 def episode_sensitivity(spark, d):
     """The number of sessions at every gap, from one pass over the gaps."""
-    return events.sessions_by_gap(_tel(spark, d), ["tag", "id_alarme"], TS, ID, [30, 60, 120, 300, 900, 3600, 86400])
+    return events.sessions_by_gap(_tel(spark, d), ["tag", "id_alarme"], TS, [30, 60, 120, 300, 900, 3600, 86400])
 
 
 @R.query(f"WITH {_sessions_sql(900_000)} SELECT tag, count(*) AS sessoes, CAST(sum(dont_go) AS BIGINT) AS positivas, max(n) AS maior, round(avg(duration_ms), 4) AS duracao FROM s GROUP BY 1")

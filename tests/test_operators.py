@@ -21,17 +21,17 @@ def at(**kw):
 
 def test_session_gap_is_strict_in_milliseconds(spark):
     rows = [(1, "A", at()), (2, "A", at(seconds=60)), (3, "A", at(seconds=120, milliseconds=1)), (4, "A", at(seconds=120, milliseconds=1))]
-    out = events.sessions(spark.createDataFrame(rows, "id long, tag string, ts timestamp_ntz"), ["tag"], "ts", "id", 60).orderBy("session").collect()
-    assert [(r.n, r.duration_ms) for r in out] == [(2, 60_000), (2, 0)]
+    out = events.sessions(spark.createDataFrame(rows, "id long, tag string, ts timestamp_ntz"), ["tag"], "ts", 60, sums={"ids": F.col("id")}).orderBy("session").collect()
+    assert [(r.n, r.duration_ms, r.ids) for r in out] == [(2, 60_000, 3), (2, 0, 7)]
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("AB"), st.integers(0, 400_000)), max_size=60))
 def test_sessions_equal_the_curve_and_shrink_with_the_gap(spark, rows):
     df = spark.createDataFrame([(i, k, at(seconds=s)) for i, (k, s) in enumerate(rows)], "id long, tag string, ts timestamp_ntz")
-    curve = {r.gap_s: r.sessions for r in events.sessions_by_gap(df, ["tag"], "ts", "id", [60, 3600, 86400]).collect()}
+    curve = {r.gap_s: r.sessions for r in events.sessions_by_gap(df, ["tag"], "ts", [60, 3600, 86400]).collect()}
     assert curve[60] >= curve[3600] >= curve[86400]
-    s = events.sessions(df, ["tag"], "ts", "id", 3600)
+    s = events.sessions(df, ["tag"], "ts", 3600)
     assert s.count() == curve[3600] and sum(r.n for r in s.collect()) == len(rows)
 
 
