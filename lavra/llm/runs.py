@@ -28,20 +28,31 @@ BLOCK_SECONDS = 6 * 3600
 BLOCK_ROWS = 500_000
 
 
-def block_seconds(df: DataFrame, entity: Column, ts: Column, rows: int = BLOCK_ROWS) -> int:
-    """Seconds of a block, so that the fullest holds about ``rows`` events at most (one second is the least)."""
-    at = F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(BLOCK_SECONDS))
-    most = df.groupBy(entity.alias("e"), at.alias("b")).count().agg(F.max("count")).first()[0] or 0
-    return max(1, BLOCK_SECONDS * rows // max(rows, most))
+def _fullest(events: DataFrame) -> int:
+    """The events of the fullest block of ``BLOCK_SECONDS``."""
+    at = F.floor(F.col("us") / F.lit(BLOCK_SECONDS * 1_000_000))
+    return events.groupBy("entity", at.alias("b")).count().agg(F.max("count")).first()[0] or 0
 
 
-def fragments(df: DataFrame, entity: Column, ts: Column, kind: Column, row_id: Column, max_gap_s: int, block_s: int = BLOCK_SECONDS) -> DataFrame:
+def prepared(df: DataFrame, entity: Column, ts: Column, kind: Column, row_id: Column, rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+    """Events (entity, us, kind, id) and the seconds of a block, so that the fullest holds about ``rows`` events (one second is the least).
+
+    Copies share entity and time and would all meet in one block. Where a block is overfull, they are first combined,
+    before any shuffle by block, and the rest is counted again.
+    """
+    events = df.select(entity.alias("entity"), micros(ts).alias("us"), kind.cast("long").alias("kind"), row_id.cast("long").alias("id")).na.drop()
+    most = _fullest(events)
+    if most > rows:
+        events = staged(events.groupBy("entity", "us", "kind").agg(F.min("id").alias("id")), "run-events")
+        most = _fullest(events)
+    return events, max(1, BLOCK_SECONDS * rows // max(rows, most))
+
+
+def fragments(events: DataFrame, max_gap_s: int, block_s: int) -> DataFrame:
     """Stretches of equal neighbours inside each block: (entity, block, frag, kind, at, first_us, last_us, n, id_min, id_max).
 
     ``frag`` counts from 0 in the block; ``at`` is the place of its first event in the block.
     """
-    us = micros(ts)
-    events = df.select(entity.alias("entity"), us.alias("us"), kind.cast("long").alias("kind"), row_id.cast("long").alias("id")).na.drop()
     events = events.withColumn("block", F.floor(F.col("us") / F.lit(block_s * 1_000_000)))
     # One shuffle: copies share entity and time, so they meet in their block's partition.
     once = events.repartition("entity", "block").groupBy("entity", "block", "us", "kind").agg(F.min("id").alias("id"))
@@ -62,8 +73,8 @@ def collapse_runs(df: DataFrame, entity: Column, ts: Column, kind: Column, row_i
     seconds (inclusive) lie between them.
     """
     gap = max_gap_s * 1_000_000
-    block_s = block_s or block_seconds(df, entity, ts)
-    frags = staged(fragments(df, entity, ts, kind, row_id, max_gap_s, block_s), "fragments")
+    events, fit = prepared(df, entity, ts, kind, row_id)
+    frags = staged(fragments(events, max_gap_s, block_s or fit), "fragments")
     # One row per block; the entity's whole sequence is these rows in order.
     ends = F.struct("frag", "kind", "first_us", "last_us", "at")
     blocks = frags.groupBy("entity", "block").agg(F.min(ends).alias("head"), F.max(ends).alias("tail"), F.sum("n").alias("n"))

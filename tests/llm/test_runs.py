@@ -67,6 +67,11 @@ def test_copies_count_once_and_empty(spark):
     assert run(spark, []) == []
 
 
-def test_blocks_shrink_with_the_fullest(spark):
+def test_blocks_shrink_with_the_fullest_and_copies_are_combined_first(spark):
+    cols = (F.col("tag"), F.col("ts"), F.col("kind"), F.col("id"))
+    df = spark.createDataFrame([(i, "a", T0 + timedelta(seconds=i), 1, 0, "", "") for i in range(100)], SCHEMA)
+    events, block = runs.prepared(df, *cols, rows=10)
+    assert block == runs.BLOCK_SECONDS // 10 and events.count() == 100
     df = spark.createDataFrame([(i, "a", T0, 1, 0, "", "") for i in range(100)], SCHEMA)
-    assert runs.block_seconds(df, F.col("tag"), F.col("ts"), rows=10) == runs.BLOCK_SECONDS // 10
+    events, block = runs.prepared(df, *cols, rows=10)
+    assert block == runs.BLOCK_SECONDS and [r.id for r in events.collect()] == [0]
