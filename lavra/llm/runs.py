@@ -77,27 +77,25 @@ def collapse_runs(df: DataFrame, entity: Column, ts: Column, kind: Column, row_i
     frags = staged(fragments(events, max_gap_s, block_s or fit), "fragments")
     # One row per block; the entity's whole sequence is these rows in order.
     ends = F.struct("frag", "kind", "first_us", "last_us", "at")
-    blocks = frags.groupBy("entity", "block").agg(F.min(ends).alias("head"), F.max(ends).alias("tail"), F.sum("n").alias("n"))
+    blocks = frags.groupBy("entity", "block").agg(
+        F.min(ends).alias("head"), F.max(ends).alias("tail"), F.sum("n").alias("n"),
+        F.max(F.when(F.col("frag") == 1, F.col("at"))).alias("second_at"), F.max(F.when(F.col("frag") == 0, F.col("last_us"))).alias("first_end"),
+    )
     w = Window.partitionBy("entity").orderBy("block")
     before = F.lag("tail").over(w)
     continues = (before["kind"] == F.col("head.kind")) & (F.col("head.first_us") - before["last_us"] <= gap)
     blocks = blocks.select(
-        "entity", "block", "head", "tail",
+        "entity", "block", "head", "tail", "second_at", "first_end",
         F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
         F.coalesce(continues, F.lit(False)).alias("continues"),
         before["last_us"].alias("before_us"),
     )
     # The block's first and last own start, for the runs that cross its borders.
-    own_first = F.when(~F.col("continues"), F.struct((F.col("offset") + F.col("head.at")).alias("pos"), F.col("before_us").alias("before_us")))
+    own_first = F.when(~F.col("continues"), F.struct((F.col("offset") + F.col("head.at")).alias("pos"), F.col("before_us").alias("before_us"))).when(
+        F.col("second_at").isNotNull(), F.struct((F.col("offset") + F.col("second_at")).alias("pos"), F.col("first_end").alias("before_us"))
+    )
     own_last = F.when(~F.col("continues") | (F.col("tail.frag") > 0), F.col("offset") + F.col("tail.at"))
     blocks = blocks.select("entity", "block", "offset", "continues", "before_us", own_first.alias("own_first"), own_last.alias("own_last"))
-    second = frags.where("frag = 1").select("entity", "block", F.col("at").alias("second_at"))
-    first_end = frags.where("frag = 0").select("entity", "block", F.col("last_us").alias("first_end"))
-    blocks = blocks.join(second.join(first_end, ["entity", "block"]), ["entity", "block"], "left")
-    blocks = blocks.withColumn(
-        "own_first",
-        F.coalesce("own_first", F.when(F.col("second_at").isNotNull(), F.struct((F.col("offset") + F.col("second_at")).alias("pos"), F.col("first_end").alias("before_us")))),
-    )
     later = w.rowsBetween(1, Window.unboundedFollowing)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(
