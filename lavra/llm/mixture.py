@@ -4,8 +4,8 @@ Every document has a membership vector over the target sources. Where its writte
 Where it isn't (null, unknown), a classifier fitted on all labelled documents (multinomial naive Bayes over hashed words;
 its table of counts has at most sources times ``BUCKETS`` cells) predicts the posterior. With tokens t, memberships P and
 rates r, source k gets S_k = sum(t * r * P_k) tokens; the rates minimise sum((S_k - T_k)^2 / A_k) over 0 <= r <= cap by
-projected gradient steps. A step needs the k sums only, taken over the table of distinct (membership, cap) with their
-tokens, so certain documents are as many rows as there are sources, however many there are.
+projected gradient steps. A step needs the k sums only: certain documents of a source share their rate, so they are one
+group each, however many there are; those of the others are summed on the cluster at every step.
 
 The unit is the distinct text: copies, under any id or source, share one cap. A text's source is that of its smallest
 id among those with a target source. T_k is the target share of ``total``; left out, the total is the largest at which
@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -143,10 +143,15 @@ def units(df: DataFrame, wanted: list[tuple[str, float, int]], id_col: str, text
     return measured.groupBy("key").agg(first).select("u.doc_id", "u.src", "u.tokens", "u.post")
 
 
-def fit_rates(groups: list[tuple[np.ndarray, float, float]], goal: np.ndarray, available: np.ndarray, start: np.ndarray, steps: int = 40, tolerance: float = 1e-6) -> list[np.ndarray]:
-    """Gradient steps (vectors over the sources) from group sums (membership, cap, tokens), until the sums stay put.
+def fit_rates(
+    groups: list[tuple[np.ndarray, float, float]], goal: np.ndarray, available: np.ndarray, start: np.ndarray, others: Callable[[list[np.ndarray]], np.ndarray] | None = None,
+    steps: int = 40, tolerance: float = 1e-5,
+) -> list[np.ndarray]:
+    """Gradient steps (vectors over the sources), until the sums stay put.
 
-    A document's rate after the steps is :func:`rates` of its membership and cap; the driver holds the sums only.
+    ``groups`` are documents of one membership and cap, with their tokens; ``others`` gives the sums of all other
+    documents after some steps, an aggregation on the cluster. The driver holds nothing but sums. A document's rate
+    after the steps is :func:`rates` of its membership and cap.
     """
     member = np.array([g[0] for g in groups]).reshape(len(groups), len(goal))
     cap, tokens = np.array([g[1] for g in groups]), np.array([g[2] for g in groups])
@@ -154,12 +159,11 @@ def fit_rates(groups: list[tuple[np.ndarray, float, float]], goal: np.ndarray, a
     out: list[np.ndarray] = []
     scale = np.where(available > 0, available, 1.0)
     for _ in range(steps):
-        got = member.T @ (tokens * r)
-        step = (got - goal) / scale
+        got = member.T @ (tokens * r) + (0 if others is None else others(out))
         if np.abs(got - goal).max(initial=0) <= tolerance * max(goal.sum(), 1):
             break
-        out.append(step)
-        r = np.clip(r - member @ step, 0, cap)
+        out.append((got - goal) / scale)
+        r = np.clip(r - member @ out[-1], 0, cap)
     return out
 
 
@@ -199,22 +203,21 @@ def mix(
     cap = F.when(F.col("src") >= 0, F.get(F.lit([float(c) for c in caps]), F.col("src"))).otherwise(F.lit(float(loose_cap)))
 
     certain = {r["src"]: (float(r["t"]), int(r["n"])) for r in table.where("src >= 0").groupBy("src").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
-    # Loose texts are put together by posteriors rounded to a thousandth for the sums; their own rates use their own.
-    rounded = F.transform("post", lambda p: F.round(p, 3))
-    loose = table.where("src < 0").groupBy(rounded.alias("p")).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t")).limit(50_001).collect() if loose_cap > 0 else []
-    if len(loose) > 50_000:  # too many to hold: one sum per likeliest source instead, with the mean posterior
-        top = F.array_position("post", F.array_max("post"))
-        means = F.array(*[F.sum(F.col("tokens") * F.get("post", F.lit(i))) / F.sum("tokens") for i in range(k)])
-        loose = table.where("src < 0").groupBy(top.alias("top")).agg(means.alias("p"), F.sum("tokens").alias("t")).collect()
-    groups = [(np.eye(k)[s], caps[s], t) for s, (t, _) in certain.items()] + [(np.array(r["p"]), float(loose_cap), float(r["t"])) for r in loose]
-    available = sum((g[0] * g[2] for g in groups), np.zeros(k))
+    loose = table.where(F.col("src") < 0 if loose_cap > 0 else F.lit(False)).select("tokens", "post")
+    groups = [(np.eye(k)[i], caps[i], t) for i, (t, _) in certain.items()]
+
+    def loose_sums(of: Column) -> np.ndarray:
+        row = loose.agg(*[F.sum(F.col("tokens") * of * F.get("post", F.lit(i))) for i in range(k)]).first()
+        return np.array([x or 0.0 for x in row])
+
+    available = sum((g[0] * g[2] for g in groups), np.zeros(k)) + loose_sums(F.lit(1.0))
     sure = np.array([certain.get(i, (0.0, 0))[0] for i in range(k)])
     reachable = sure > 0
     if total is None:
         total = float(np.min((sure * caps)[reachable & (weight > 0)] / weight[reachable & (weight > 0)])) if (reachable & (weight > 0)).any() else 0.0
     goal = np.where(reachable, weight * total, 0.0)
     start = np.minimum(np.divide(goal, available, out=np.zeros(k), where=available > 0), caps)
-    steps = fit_rates(groups, goal, available, start)
+    steps = fit_rates(groups, goal, available, start, lambda done: loose_sums(rates(F.col("post"), F.lit(float(loose_cap)), start, done)))
 
     rated = table.withColumn("rate", rates(member, cap, start, steps)).withColumn("member", member)
     rated = rated.withColumn("dom", F.array_position("member", F.array_max("member")).cast("int") - 1)

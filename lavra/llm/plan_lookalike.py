@@ -1,11 +1,15 @@
-"""Queries of problem 6: text that looks the same but differs in its characters. Brute force tests stand in for SQL."""
+"""Queries of problem 6: text that looks the same but differs in its characters.
+
+The SQL states the result for the alarm names at hand: names are Latin throughout or really Cyrillic or Japanese. The
+operator decides by token and for other scripts too; that is tested on planted forms.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lavra.llm.lookalike import normalized
+from lavra.llm.lookalike import CYRILLIC, GREEK, PUNCTUATION, normalized
 from lavra.sources import read_table
 
 
@@ -21,4 +25,25 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p6_names": p6_names, "p6_found": p6_found}
-SQL: dict[str, str] = {}
+
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_THIN = "".join(map(chr, range(0x21, 0x7F)))
+_LOOKS = CYRILLIC | GREEK | dict(zip("ΆΈΊΌΎίό", "ÁÉÍÓÝíó"))
+_REAL = "".join(chr(c) for c in range(0x400, 0x460) if chr(c).isalpha() and chr(c) not in CYRILLIC)
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_FORMS = f"""
+WITH a AS (SELECT id_eventos_telemetria AS id, alarme, regexp_replace(alarme, '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g') AS a1 FROM tel),
+b AS (SELECT *, regexp_replace(a1, '[\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g') AS a2 FROM a),
+c AS (SELECT *, translate(replace(replace(a2, 'ﬁ', 'fi'), 'ﬂ', 'fl'), {_sql_text(_WIDE + "".join(PUNCTUATION))}, {_sql_text(_THIN + "".join(PUNCTUATION.values()))}) AS a3 FROM b),
+d AS (SELECT *, nfc_normalize(a3) AS a4 FROM c),
+e AS (SELECT *, CASE WHEN regexp_matches(a4, '[{_REAL}]') THEN a4 ELSE translate(a4, {_sql_text("".join(_LOOKS))}, {_sql_text("".join(_LOOKS.values()))}) END AS a5 FROM d)
+"""
+SQL = {
+    "p6_names": _FORMS + "SELECT id AS id_eventos_telemetria, trim(regexp_replace(nfc_normalize(a5), '\\s+', ' ', 'g')) AS alarme FROM e",
+    "p6_found": _FORMS + "SELECT id AS id_eventos_telemetria FROM e WHERE alarme <> a1 OR a1 <> a2 OR a2 <> a3 OR a3 <> a4 OR a4 <> a5",
+}
