@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "_own", None)
     if not folder:
         folder = shared_dir._own = tempfile.mkdtemp(prefix="lavra-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
