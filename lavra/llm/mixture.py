@@ -203,7 +203,7 @@ def mix(
     cap = F.when(F.col("src") >= 0, F.get(F.lit([float(c) for c in caps]), F.col("src"))).otherwise(F.lit(float(loose_cap)))
 
     certain = {r["src"]: (float(r["t"]), int(r["n"])) for r in table.where("src >= 0").groupBy("src").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
-    loose = table.where(F.col("src") < 0 if loose_cap > 0 else F.lit(False)).select("tokens", "post")
+    loose = staged(table.where(F.col("src") < 0 if loose_cap > 0 else F.lit(False)).select("tokens", "post"), "mix-loose")
     groups = [(np.eye(k)[i], caps[i], t) for i, (t, _) in certain.items()]
 
     def loose_sums(of: Column) -> np.ndarray:
