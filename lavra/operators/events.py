@@ -32,11 +32,23 @@ def duplicate_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"))
 
 
-def gaps(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, carry: Sequence[str] = ()) -> DataFrame:
-    """``keys``, ``ts``, id and ``carry`` with ``gap_ms``, the whole milliseconds since the key's row before (null for its first)."""
+BLOCK_ROWS = 500_000
+
+
+def gaps(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, carry: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``keys``, ``ts``, id and ``carry`` with ``gap_ms``, the whole milliseconds since the key's row before (null for its first).
+
+    Ids are unique. Where a block holds more than ``block_rows`` rows, instants are ordered instead of rows: the first id
+    of an instant has the gap to the instant before, the others have none between them.
+    """
     rows = df.select(*dict.fromkeys([*keys, ts, id_col, *carry])).where(F.col(ts).isNotNull()).na.drop(subset=list(keys)).withColumn("_blk", block_of(ts))
-    out = with_previous(rows, keys, "_blk", [ts, id_col], [ts])
-    return out.withColumn("gap_ms", millis(ts) - millis(f"prev_{ts}"))
+    step = millis(ts) - millis(f"prev_{ts}")
+    if (rows.groupBy(*keys, "_blk").count().agg(F.max("count")).first()[0] or 0) <= block_rows:
+        return with_previous(rows, keys, "_blk", [ts, id_col], [ts]).withColumn("gap_ms", step).drop("_blk", f"prev_{ts}")
+    first = rows.groupBy(*keys, ts, "_blk").agg(F.min(id_col).alias("_first"))
+    first = with_previous(first, keys, "_blk", [ts], [ts]).select(*keys, ts, "_first", step.alias("_step"))
+    out = rows.drop("_blk").join(first, [*keys, ts])
+    return out.withColumn("gap_ms", F.when(F.col(id_col) == F.col("_first"), F.col("_step")).otherwise(0)).drop("_first", "_step")
 
 
 def _instants(df: DataFrame, keys: Sequence[str], ts: str, aggregates: Sequence[Column] = ()) -> DataFrame:

@@ -16,6 +16,7 @@ from lavra.functions.time import micros, millis
 from lavra.operators.chained import block_of, with_previous
 
 BUCKET_SECONDS = 86_400
+BLOCK_ROWS = 500_000
 
 
 def bucketed(df: DataFrame, start: str, end: str, seconds: int = BUCKET_SECONDS, name: str = "_bkt") -> DataFrame:
@@ -68,12 +69,26 @@ def state_shares(windows: DataFrame, intervals: DataFrame, entity: str, window:
     )
 
 
-def asof(left: DataFrame, right: DataFrame, entity: str, left_ts: str, right_ts: str, left_id: str, right_id: str, direction: str = "forward", exact: bool = True, tolerance_s: float | None = None, seconds: int = BUCKET_SECONDS) -> DataFrame:
+def asof(
+    left: DataFrame, right: DataFrame, entity: str, left_ts: str, right_ts: str, right_id: str, direction: str = "forward", exact: bool = True,
+    tolerance_s: float | None = None, seconds: int = BUCKET_SECONDS, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """``left`` with ``match_id`` and ``match_ts``: the next (or last) right row of the same entity, null if there is none.
 
     Both sides are put in one order and cut into blocks; within a block a window looks ahead, beyond it one row per block
     says what comes next. Of right rows at the same time the smallest id is taken. ``exact`` lets equal times match.
+    Left rows without entity or time match nothing. Where a block holds more than ``block_rows`` left rows, each of its
+    instants is matched once and the rows are joined to their instants.
     """
+    fullest = left.groupBy(entity, block_of(left_ts, seconds).alias("_b")).count().agg(F.max("count")).first()[0] or 0
+    args = (right, entity, left_ts, right_ts, right_id, direction, exact, tolerance_s, seconds)
+    if fullest <= block_rows:
+        return _asof(left, *args)
+    instants = left.select(entity, left_ts).na.drop().distinct()
+    return left.join(_asof(instants, *args), [entity, left_ts], "left").select(*left.columns, "match_id", "match_ts")
+
+
+def _asof(left: DataFrame, right: DataFrame, entity: str, left_ts: str, right_ts: str, right_id: str, direction: str, exact: bool, tolerance_s: float | None, seconds: int) -> DataFrame:
     forward = direction == "forward"
     r = right.select(F.col(entity).alias("_e"), F.col(right_ts).alias("_t"), F.col(right_id).alias("_id")).na.drop(subset=["_e", "_t"])
     r = r.groupBy("_e", "_t").agg(F.min("_id").alias("_id"))
@@ -94,7 +109,7 @@ def asof(left: DataFrame, right: DataFrame, entity: str, left_ts: str, right_ts:
     out = near.where("_row IS NOT NULL").join(blocks, ["_e", "_b"], "left").withColumn("_hit", F.coalesce("_near", "_far"))
     if tolerance_s is not None:
         off = F.abs(micros(F.col("_hit.ts")) - micros("_t"))
-        out = out.withColumn("_hit", F.when(off <= int(tolerance_s * 1_000_000), F.col("_hit")))
+        out = out.withColumn("_hit", F.when(off <= round(tolerance_s * 1_000_000), F.col("_hit")))
     return out.select("_row.*", F.col("_hit.id").alias("match_id"), F.col("_hit.ts").alias("match_ts"))
 
 

@@ -175,7 +175,7 @@ _OPERATING = "r AS (SELECT tag, inicio AS ts, min(id) AS id FROM ap WHERE estado
 @R.query(f"WITH {_AP}, {_FLAGGED}, {_OPERATING} SELECT f.id, f.tag, f.ts, r.id AS match_id, r.ts AS match_ts, round(date_diff('microsecond', f.ts, r.ts) / 3.6e9, 9) AS horas FROM f ASOF LEFT JOIN r ON f.tag = r.tag AND f.ts <= r.ts")
 def next_state_asof(spark, d):
     """The next operating state after flagged events, and the hours to it."""
-    out = intervals.asof(_flagged(spark, d), _ap(spark, d).where("estado = 'operando'"), "tag", "ts", "inicio", "id", "id")
+    out = intervals.asof(_flagged(spark, d), _ap(spark, d).where("estado = 'operando'"), "tag", "ts", "inicio", "id")
     return out.withColumn("horas", F.round((micros("match_ts") - micros("ts")) / F.lit(3.6e9), 9))
 
 
@@ -185,14 +185,14 @@ _MAINTENANCE = "r AS (SELECT tag, inicio AS ts, min(id) AS id FROM ap WHERE esta
 @R.query(f"WITH {_AP}, {_FLAGGED}, {_MAINTENANCE} SELECT f.id, CASE WHEN r.ts < f.ts + INTERVAL 8 HOUR THEN r.id END AS match_id FROM f ASOF LEFT JOIN r ON f.tag = r.tag AND f.ts <= r.ts")
 def first_followup_window(spark, d):
     """The first maintenance within 8 hours after flagged events."""
-    out = intervals.asof(_flagged(spark, d), _ap(spark, d).where("estado = 'manutencao'"), "tag", "ts", "inicio", "id", "id", tolerance_s=8 * 3600 - 1e-6)
+    out = intervals.asof(_flagged(spark, d), _ap(spark, d).where("estado = 'manutencao'"), "tag", "ts", "inicio", "id", tolerance_s=8 * 3600 - 1e-6)
     return out.select("id", "match_id")
 
 
 @R.query(f"WITH {_AP}, {_FLAGGED}, {_MAINTENANCE} SELECT f.id, CASE WHEN r.ts >= f.ts - INTERVAL 24 HOUR THEN r.id END AS match_id FROM f ASOF LEFT JOIN r ON f.tag = r.tag AND f.ts > r.ts")
 def last_prior_window(spark, d):
     """The last maintenance within 24 hours before flagged events, not at the same time."""
-    out = intervals.asof(_flagged(spark, d), _ap(spark, d).where("estado = 'manutencao'"), "tag", "ts", "inicio", "id", "id", direction="backward", exact=False, tolerance_s=24 * 3600)
+    out = intervals.asof(_flagged(spark, d), _ap(spark, d).where("estado = 'manutencao'"), "tag", "ts", "inicio", "id", direction="backward", exact=False, tolerance_s=24 * 3600)
     return out.select("id", "match_id")
 
 
@@ -200,7 +200,7 @@ def last_prior_window(spark, d):
 SELECT CAST(h AS INTEGER) AS horas, count(*) AS n, count(*) FILTER (WHERE us < h * 3600000000) AS ligados, round(count(*) FILTER (WHERE us < h * 3600000000) / nullif(count(*), 0)::DOUBLE, 9) AS taxa FROM j, (VALUES (1), (4), (8), (24)) v(h) GROUP BY 1""")
 def linkage_rates(spark, d):
     """The share of flagged events followed by maintenance within several windows, from one as-of join."""
-    out = intervals.asof(_flagged(spark, d), _ap(spark, d).where("estado = 'manutencao'"), "tag", "ts", "inicio", "id", "id")
+    out = intervals.asof(_flagged(spark, d), _ap(spark, d).where("estado = 'manutencao'"), "tag", "ts", "inicio", "id")
     us = micros("match_ts") - micros("ts")
     one = out.agg(F.count("*").alias("n"), *[F.count_if(us < h * 3_600_000_000).alias(f"h{h}") for h in (1, 4, 8, 24)])
     rows = F.array(*[F.struct(F.lit(h).alias("horas"), F.col("n"), F.col(f"h{h}").alias("ligados"), F.round(F.try_divide(F.col(f"h{h}"), F.col("n")), 9).alias("taxa")) for h in (1, 4, 8, 24)])

@@ -35,6 +35,18 @@ def test_sessions_equal_the_curve_and_shrink_with_the_gap(spark, rows):
     assert s.count() == curve[3600] and sum(r.n for r in s.collect()) == len(rows)
 
 
+def test_gaps_by_rows_and_by_instants(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("AB"), at(minutes=rng.choice([0, 0, 0, rng.randrange(5000)]))) for i in rng.sample(range(1000), 200)]
+    df = spark.createDataFrame(rows, "id long, tag string, ts timestamp_ntz")
+    want, last = {}, {}
+    for i, tag, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = (ts - last[tag]) // timedelta(milliseconds=1) if tag in last else None
+        last[tag] = ts
+    for limit in (500_000, 10):
+        assert {r.id: r.gap_ms for r in events.gaps(df, ["tag"], "ts", "id", block_rows=limit).collect()} == want
+
+
 def test_blocks_give_the_plain_window(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["A", "B", None]), at(minutes=rng.randrange(20_000)), rng.randrange(9)) for i in range(500)]
@@ -84,7 +96,8 @@ def test_asof_both_ways_equal_times_and_blocks(spark):
     ldf, rdf = (spark.createDataFrame(x, "id long, tag string, ts timestamp_ntz") for x in (left, right))
     for direction in ("forward", "backward"):
         for exact in (True, False):
-            out = intervals.asof(ldf, rdf, "tag", "ts", "ts", "id", "id", direction, exact, tolerance_s=86_400 * 2, seconds=7200)
+            rows = 500_000 if exact else 1  # the second way: instants matched once
+            out = intervals.asof(ldf, rdf, "tag", "ts", "ts", "id", direction, exact, tolerance_s=86_400 * 2, seconds=7200, block_rows=rows)
             got = {r.id: (r.match_ts, r.match_id) for r in out.collect()}
             assert len(got) == len(left)
             for i, tag, ts in left:
