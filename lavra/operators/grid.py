@@ -60,6 +60,25 @@ def sample_grid(df: DataFrame, entity: str, first: str, last: str, stride_s: int
     )
 
 
+def sample_grid_of_span(df: DataFrame, entity: str, ts: str, stride_s: int, observe_s: int, horizon_s: int) -> DataFrame:
+    """``sample_grid`` over all of ``df``: a first observation starts in the first bin of all, a last horizon ends with the last.
+
+    A table shorter than observation and horizon gives no samples.
+    """
+    step = F.expr(f"INTERVAL {stride_s} SECONDS")
+    lo = bucket_start(F.min(ts), stride_s) + F.expr(f"INTERVAL {observe_s} SECONDS")
+    hi = bucket_start(F.max(ts), stride_s) + F.expr(f"INTERVAL {stride_s - horizon_s} SECONDS")
+    span = df.agg(lo.alias("_lo"), hi.alias("_hi"))
+    times = span.select(F.explode(F.when(F.col("_lo") <= F.col("_hi"), F.sequence("_lo", "_hi", step))).alias("prediction_time"))
+    entities = df.where(F.col(entity).isNotNull()).select(entity).distinct()
+    return entities.crossJoin(times).select(
+        entity,
+        (F.col("prediction_time") - F.expr(f"INTERVAL {observe_s} SECONDS")).alias("feature_start"),
+        "prediction_time",
+        (F.col("prediction_time") + F.expr(f"INTERVAL {horizon_s} SECONDS")).alias("target_end"),
+    )
+
+
 def with_sample_ids(samples: DataFrame, entity: str) -> DataFrame:
     """``sample_id`` 1, 2, ... by prediction time and entity: numbered within each time, times offset by their counts."""
     counts = samples.groupBy("prediction_time").agg(F.count("*").alias("_n"))
