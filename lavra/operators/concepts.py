@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lavra.functions.text import strip_accents
 
 
+@F.pandas_udf(StringType())
+def stripped(x: pd.Series) -> pd.Series:
+    """Without white space of any script at both ends. For distinct names: this leaves the JVM."""
+    return x.map(str.strip, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def unaccented(x: pd.Series) -> pd.Series:
+    """Compatibility forms (full width, ligatures, signs) decomposed and combining marks of any script removed. For distinct names."""
+    return x.map(lambda v: "".join(ch for ch in unicodedata.normalize("NFKD", v) if not unicodedata.combining(ch)), na_action="ignore")
+
+
 def ruled_text(c: str) -> Column:
     return F.lower(strip_accents(c))
 

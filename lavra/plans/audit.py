@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lavra.functions.text import strip_accents, strip_outer, text_concept
-from lavra.operators import events, intervals, quality
+from lavra.operators import concepts, events, intervals, quality
 from lavra.plans.registry import Registry
 from lavra.sources import read_table
 
@@ -74,12 +74,21 @@ f AS (SELECT id_alarme, 'cru' AS form, alarme AS v FROM t UNION ALL SELECT id_al
 g AS (SELECT form, id_alarme, count(DISTINCT v) AS n FROM f GROUP BY 1, 2)
 SELECT form, count(*) FILTER (WHERE n > 1) AS keys FROM g GROUP BY 1""")
 def normalisation_conflicts(spark, d):
-    """How many ids keep several names as the name is normalised further."""
+    """How many ids keep several names in Latin letters as the name is normalised further."""
     t = read_table(spark, d, "tel").where(F.col("alarme").rlike(_ASCII))
     a = F.col("alarme")
     return quality.conflicts_by_form(t, "id_alarme", {"cru": a, "aparado": strip_outer(a), "sem_acento": F.lower(strip_accents(strip_outer(a))), "conceito": text_concept(a)})
 
 
+@R.query()
+def normalisation_conflicts_whole(spark, d):
+    """The same for names in any characters."""
+    t = read_table(spark, d, "tel").select("id_alarme", "alarme").distinct()
+    a, bare = F.col("alarme"), concepts.stripped("alarme")
+    t = t.select("id_alarme", a.alias("cru"), bare.alias("aparado"), concepts.unaccented(bare).alias("solto"))
+    return quality.conflicts_by_form(t, "id_alarme", {"cru": F.col("cru"), "aparado": F.col("aparado"), "sem_acento": F.lower("solto"), "conceito": text_concept("solto")})
+
+
 @R.query("""
 WITH p AS (SELECT data_evento AS ts, TRY_CAST(CASE WHEN regexp_full_match(inicio_turno, '\\d{4}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d') THEN inicio_turno END AS TIMESTAMP) AS a,
   TRY_CAST(CASE WHEN regexp_full_match(fim_turno, '\\d{4}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d') THEN fim_turno END AS TIMESTAMP) AS b FROM tel)

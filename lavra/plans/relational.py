@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lavra.functions.text import folded, strip_accents, strip_outer, text_concept
 from lavra.functions.time import bucket_start, hours_between, micros, millis, seconds_between
-from lavra.operators import quality
+from lavra.operators import concepts, quality
 from lavra.plans.registry import Registry
 from lavra.sources import calendar, grid, read_table, scan
 
@@ -415,11 +415,19 @@ SELECT DISTINCT alarme, regexp_replace(alarme, '^\\s+|\\s+$', '', 'g') AS sem_bo
   substring(alarme, 1, 2) AS prefixo, replace(alarme, ' ', '_') AS rotulo
 FROM tel WHERE regexp_full_match(alarme, '[ -~À-ÖØ-öø-ÿ\\t]*')""")
 def text_normalisation(spark, d):
-    """Outer blanks, case, accents, concept text, prefix and replacement as native columns."""
+    """Outer blanks, case, accents, concept text, prefix and replacement of names in Latin letters as native columns."""
     a = T(spark, d, "tel").select("alarme").distinct().where(F.col("alarme").rlike(r"\A[ -~À-ÖØ-öø-ÿ\t]*\z"))
     return a.select("alarme", strip_outer("alarme").alias("sem_bordas"), F.lower("alarme").alias("minusculo"), strip_accents("alarme").alias("sem_acento"), text_concept("alarme").alias("conceito"), F.substring("alarme", 1, 2).alias("prefixo"), F.replace("alarme", F.lit(" "), F.lit("_")).alias("rotulo"))
 
 
+@R.query()
+def text_normalisation_whole(spark, d):
+    """The same for names in any characters."""
+    a = T(spark, d, "tel").select("alarme").distinct()
+    bare = concepts.stripped("alarme")
+    return a.select("alarme", bare.alias("sem_bordas"), F.lower("alarme").alias("minusculo"), concepts.unaccented("alarme").alias("sem_acento"), text_concept(concepts.unaccented(bare)).alias("conceito"), F.substring("alarme", 1, 2).alias("prefixo"), F.replace("alarme", F.lit(" "), F.lit("_")).alias("rotulo"))
+
+
 @R.query("SELECT tag || '|' || CAST(id_alarme AS VARCHAR) AS chave, left(regexp_replace(tag, '[^a-zA-Z0-9]', '_', 'g'), 35) AS nome, count(*) AS n FROM tel GROUP BY 1, 2")
 def composite_keys(spark, d):
     """A composite text key and a sanitised identifier."""

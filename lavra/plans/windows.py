@@ -217,6 +217,14 @@ FAMILIES = [("freio", ["freio", "brake"]), ("motor", ["motor", "turbo", "fuel"])
 _FAM = "CASE WHEN contains(x, 'freio') OR contains(x, 'brake') THEN 'freio' WHEN contains(x, 'motor') OR contains(x, 'turbo') OR contains(x, 'fuel') THEN 'motor' WHEN contains(x, 'hidraul') OR contains(x, 'hydraul') THEN 'hidraulica' END"
 
 
+def _active(t):
+    names = [n for n, _ in FAMILIES]
+    bins = grid.tumbling(t, "tag", "data_evento", BIN, [F.count_if(F.col("f") == n).alias(n) for n in names])
+    full = grid.dense(bins, "tag", BIN, names).withColumn("juntas", sum((F.when(F.col(n) > 0, 1).otherwise(0) for n in names), F.lit(0)))
+    out = grid.trailing(full, "tag", [*names, "juntas"], [1, 3, 9])
+    return out.select("tag", "bin", *[f"{n}_sum_{w}" for n in names for w in (3, 9)], F.col("juntas_sum_1").cast("int").alias("juntas"))
+
+
 @R.query(f"""WITH t AS (SELECT nullif(upper(regexp_replace(tag, '[^\\p{{L}}\\p{{N}}]', '', 'g')), '') AS tag, data_evento, lower(strip_accents(alarme)) AS x FROM tel WHERE regexp_full_match(alarme, '[ -~À-ÖØ-öø-ÿ\\t]*')),
 b AS (SELECT tag, time_bucket(INTERVAL '8 hours', data_evento) AS bin, """ + ", ".join(f"count(*) FILTER (WHERE f = '{n}') AS {n}" for n, _ in FAMILIES) + f""" FROM (SELECT *, {_FAM} AS f FROM t) GROUP BY 1, 2),
 sp AS (SELECT tag, min(bin) AS lo, max(bin) AS hi FROM b GROUP BY 1), gr AS (SELECT tag, CAST(unnest(generate_series(lo, hi, INTERVAL 8 HOUR)) AS TIMESTAMP) AS bin FROM sp),
@@ -224,13 +232,18 @@ dn AS (SELECT tag, bin, """ + ", ".join(f"coalesce({n}, 0) AS {n}" for n, _ in F
 r AS (SELECT tag, bin, row_number() OVER w AS rn, """ + ", ".join(f"CAST(sum({n}) OVER (PARTITION BY tag ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS BIGINT) AS {n}_sum_3, CAST(sum({n}) OVER (PARTITION BY tag ORDER BY bin ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS BIGINT) AS {n}_sum_9" for n, _ in FAMILIES) + ", " + " + ".join(f"lag(CAST({n} > 0 AS INTEGER)) OVER w" for n, _ in FAMILIES) + """ AS juntas
   FROM dn WINDOW w AS (PARTITION BY tag ORDER BY bin)) SELECT * EXCLUDE (rn) FROM r WHERE rn > 1""")
 def family_activity(spark, d):
-    """Counts by family and 8 hours, their last 24 and 72 hours, and how many families were active at once, seen from before."""
+    """Counts by family (of names in Latin letters) and 8 hours, their last 24 and 72 hours, and how many families were active at once, seen from before."""
     t = read_table(spark, d, "tel").where(F.col("alarme").rlike(r"\A[ -~À-ÖØ-öø-ÿ\t]*\z")).select(plain_key("tag").alias("tag"), "data_evento", concepts.by_rules(concepts.ruled_text("alarme"), FAMILIES, "").alias("f"))
-    names = [n for n, _ in FAMILIES]
-    bins = grid.tumbling(t, "tag", "data_evento", BIN, [F.count_if(F.col("f") == n).alias(n) for n in names])
-    full = grid.dense(bins, "tag", BIN, names).withColumn("juntas", sum((F.when(F.col(n) > 0, 1).otherwise(0) for n in names), F.lit(0)))
-    out = grid.trailing(full, "tag", [*names, "juntas"], [1, 3, 9])
-    return out.select("tag", "bin", *[f"{n}_sum_{w}" for n in names for w in (3, 9)], F.col("juntas_sum_1").cast("int").alias("juntas"))
+    return _active(t)
+
+
+@R.query()
+def family_activity_whole(spark, d):
+    """The same for names in any characters; rows without a name belong to no family."""
+    t = read_table(spark, d, "tel").select(plain_key("tag").alias("tag"), "data_evento", "alarme")
+    f = concepts.by_rules(F.lower(concepts.unaccented("alarme")), FAMILIES, "")
+    named = t.select("alarme").distinct().select("alarme", f.alias("f")).where("f <> ''")
+    return _active(t.join(named, "alarme", "left"))
 
 
 _EXPERIMENTS = [(obs, hor) for obs in (8, 24) for hor in (8, 24)]

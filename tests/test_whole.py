@@ -1,5 +1,6 @@
 """Queries that cover whole tables: rows that the bounded query of the same name leaves out."""
 
+import re
 from datetime import datetime, timedelta
 
 import pyarrow as pa
@@ -52,3 +53,31 @@ def test_samples_outside_february_have_features_targets_and_contexts(spark, mont
 @pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n.endswith("_whole") and n in SQL])
 def test_sql_on_the_fixture(spark, months, name):
     same(QUERIES[name](spark, months), views(months), SQL[name])
+
+
+NAMES = ["ＭＯＴＯＲ quente", "Motor quente", " Motor quente　", "Motor​ °C", "Мотор", "Pressão do freio", "モーター"]
+
+
+@pytest.fixture(scope="module")
+def scripts(tmp_path_factory):
+    rows = [event("A", f"2025-01-0{k} 01:00", alarme=n, id_alarme=1 if k < 4 else k) for k, n in enumerate(NAMES, 1)]
+    return tel(tmp_path_factory.mktemp("scripts"), [*rows, event("A", "2025-01-08 01:00", id_alarme=9)])
+
+
+def test_names_in_any_characters(spark, scripts):
+    rows = {r.alarme: r for r in QUERIES["text_normalisation_whole"](spark, scripts).collect()}
+    assert {n: rows[n].conceito for n in NAMES} == dict(zip(NAMES, ["motor quente"] * 3 + ["motor c", "", "pressao do freio", ""])) and len(rows) == 8
+    assert rows[NAMES[2]].sem_bordas == "Motor quente" and rows[NAMES[5]].sem_acento == "Pressao do freio"
+    assert {r.conceito: (r.ids, r.menor) for r in QUERIES["text_concepts_whole"](spark, scripts).collect()} == {"motor quente": (1, 1), "motor c": (1, 4), "": (2, 5), "pressao do freio": (1, 6), None: (1, 9)}
+    assert {(r.conceito, r.familia): (r.n, r.ids) for r in QUERIES["concept_family_whole"](spark, scripts).collect()} == {("outro", "motor"): (4, 2), ("outro", "outra"): (3, 3), ("pressao", "freio"): (1, 1)}
+    assert {r.form: r["keys"] for r in QUERIES["normalisation_conflicts_whole"](spark, scripts).collect()} == {"cru": 1, "aparado": 1, "sem_acento": 0, "conceito": 0}
+    last = QUERIES["family_activity_whole"](spark, scripts).orderBy("bin").collect()
+    assert len(last) == 21 and [(r.motor_sum_9, r.freio_sum_9) for r in last][8::3] == [(3, 0), (3, 0), (2, 0), (1, 1), (0, 1)]
+
+
+@pytest.mark.parametrize("name", ["text_concepts", "concept_family", "family_activity", "text_normalisation", "normalisation_conflicts"])
+def test_latin_names_as_the_sql(spark, tmp_path, name):
+    t = pq.read_table(f"{SOURCE}/tel.parquet")
+    latin = pa.array([v is not None and re.fullmatch(r"[ -~À-ÖØ-öø-ÿ\t]*", v) is not None for v in t["alarme"].to_pylist()])
+    pq.write_table(t.filter(latin), tmp_path / "tel.parquet")
+    same(QUERIES[f"{name}_whole"](spark, str(tmp_path)), views(str(tmp_path)), SQL[name])
