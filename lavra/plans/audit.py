@@ -107,10 +107,18 @@ def shift_parsing(spark, d):
 WITH p AS (SELECT CAST(data_evento AS DATE) AS day, count(*) AS n FROM tel WHERE tag = 'CA70114' GROUP BY 1), g AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM p)
 SELECT g.day, coalesce(n, 0) AS n FROM g LEFT JOIN p USING (day)""")
 def daily_coverage(spark, d):
-    """Rows of every day from the first to the last, missing days too."""
+    """Rows of the tag CA70114 on every day from its first to its last, missing days too."""
     return quality.daily_coverage(read_table(spark, d, "tel").where("tag = 'CA70114'"), "data_evento")
 
 
+@R.query("""
+WITH p AS (SELECT CAST(data_evento AS DATE) AS day, count(*) AS n FROM tel WHERE data_evento IS NOT NULL GROUP BY 1), g AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM p)
+SELECT g.day, coalesce(n, 0) AS n FROM g LEFT JOIN p USING (day)""")
+def daily_coverage_whole(spark, d):
+    """The same for the rows of every tag."""
+    return quality.daily_coverage(read_table(spark, d, "tel"), "data_evento")
+
+
 @R.query("""
 WITH p AS (SELECT tag, CAST(data_evento AS DATE) AS day, count(*) AS n FROM tel GROUP BY 1, 2), m AS (SELECT tag, median(n) AS median FROM p GROUP BY 1),
 v AS (SELECT tag, any_value(m.median) AS median, median(abs(n - m.median)) AS mad FROM p JOIN m USING (tag) GROUP BY 1)

@@ -81,3 +81,8 @@ def test_latin_names_as_the_sql(spark, tmp_path, name):
     latin = pa.array([v is not None and re.fullmatch(r"[ -~À-ÖØ-öø-ÿ\t]*", v) is not None for v in t["alarme"].to_pylist()])
     pq.write_table(t.filter(latin), tmp_path / "tel.parquet")
     same(QUERIES[f"{name}_whole"](spark, str(tmp_path)), views(str(tmp_path)), SQL[name])
+
+
+def test_days_of_all_tags(spark, tmp_path):
+    d = tel(tmp_path, [event("A", "2025-01-01 01:00"), event(None, "2025-01-01 02:00"), event("CA70114", "2025-01-03 01:00"), event("b", "2025-01-04 01:00")])
+    assert sorted((r.day.day, r.n) for r in QUERIES["daily_coverage_whole"](spark, d).collect()) == [(1, 2), (2, 0), (3, 1), (4, 1)]
