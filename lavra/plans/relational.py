@@ -253,14 +253,26 @@ def joined_unique_text(spark, d):
     return T(spark, d, "tel").groupBy("id_alarme").agg(F.array_join(names, " | ").alias("nomes"))
 
 
+def _first_seen(spark, d):
+    f = T(spark, d, "tel").groupBy("tag", "id_alarme").agg(F.min("id_eventos_telemetria").alias("i"))
+    order = F.sort_array(F.collect_list(F.struct("i", "id_alarme")))
+    return f.groupBy("tag").agg(F.transform(order, lambda x: x["id_alarme"]).alias("alarmes"))
+
+
 @R.query("""
 WITH f AS (SELECT tag, id_alarme, min(id_eventos_telemetria) AS i FROM tel GROUP BY 1, 2)
 SELECT tag, list(id_alarme ORDER BY i)[1:10] AS alarmes FROM f GROUP BY 1""")
 def first_seen_order(spark, d):
-    """Distinct values in the order first seen."""
-    f = T(spark, d, "tel").groupBy("tag", "id_alarme").agg(F.min("id_eventos_telemetria").alias("i"))
-    order = F.sort_array(F.collect_list(F.struct("i", "id_alarme")))
-    return f.groupBy("tag").agg(F.slice(F.transform(order, lambda x: x["id_alarme"]), 1, 10).alias("alarmes"))
+    """The first ten distinct values in the order first seen."""
+    return _first_seen(spark, d).withColumn("alarmes", F.slice("alarmes", 1, 10))
+
+
+@R.query("""
+WITH f AS (SELECT tag, id_alarme, min(id_eventos_telemetria) AS i FROM tel GROUP BY 1, 2)
+SELECT tag, list(id_alarme ORDER BY i) AS alarmes FROM f GROUP BY 1""")
+def first_seen_order_whole(spark, d):
+    """All distinct values in the order first seen."""
+    return _first_seen(spark, d)
 
 
 @R.query("SELECT classe, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM tel GROUP BY 1")

@@ -86,3 +86,9 @@ def test_latin_names_as_the_sql(spark, tmp_path, name):
 def test_days_of_all_tags(spark, tmp_path):
     d = tel(tmp_path, [event("A", "2025-01-01 01:00"), event(None, "2025-01-01 02:00"), event("CA70114", "2025-01-03 01:00"), event("b", "2025-01-04 01:00")])
     assert sorted((r.day.day, r.n) for r in QUERIES["daily_coverage_whole"](spark, d).collect()) == [(1, 2), (2, 0), (3, 1), (4, 1)]
+
+
+def test_more_than_ten_first_seen(spark, tmp_path):
+    ids = [5, 3, 5, *range(20, 8, -1), 3]
+    d = tel(tmp_path, [event("A", "2025-01-01 01:00", id_alarme=i) for i in ids])
+    assert [list(r.alarmes) for r in QUERIES["first_seen_order_whole"](spark, d).collect()] == [list(dict.fromkeys(ids))]
