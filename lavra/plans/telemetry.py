@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from lavra.functions.text import folded, plain_key, text_concept
 from lavra.functions.time import bucket_start, micros
 from lavra.operators import concepts, events, intervals, quality
-from lavra.operators.evaluation import with_and_without
+from lavra.operators.evaluation import outcome, scored, with_and_without
 from lavra.plans.audit import CONTENT
 from lavra.plans.registry import Registry
 from lavra.sources import read_table
@@ -88,6 +88,27 @@ def session_profile(spark, d):
     return s.groupBy("tag").agg(F.count("*").alias("sessoes"), F.sum("dont_go").alias("positivas"), F.max("n").alias("maior"), F.round(F.avg("duration_ms"), 4).alias("duracao"))
 
 
+_PLAIN = "FROM (SELECT * REPLACE (nullif(upper(regexp_replace(tag, '[^\\p{L}\\p{N}]', '', 'g')), '') AS tag) FROM tel))"
+
+
+@R.query(f"""WITH {_sessions_sql(900_000).replace("FROM tel)", _PLAIN)},
+p AS (SELECT sample_id, tag, prediction_time, CASE WHEN target = 1 THEN 'FN' ELSE 'FP' END AS resultado FROM predictions WHERE target IS NOT NULL AND probabilidade IS NOT NULL AND (target = 1) <> (probabilidade >= 0.3))
+SELECT sample_id, p.tag, prediction_time, resultado, CASE WHEN start < prediction_time THEN 'observacao' ELSE 'horizonte' END AS parte, id_alarme, count(*) AS sessoes, CAST(sum(n) AS BIGINT) AS eventos, CAST(sum(dont_go) AS BIGINT) AS dont_go
+FROM p JOIN s ON s.tag = p.tag AND start >= prediction_time - INTERVAL 24 HOUR AND start < prediction_time + INTERVAL 8 HOUR GROUP BY ALL""")
+def error_sessions(spark, d):
+    """The sessions that start in the 24 hours observed and the 8 of the horizon of false positives and negatives."""
+    t = _tel(spark, d).withColumn("tag", plain_key("tag"))
+    s = events.sessions(t, ["tag", "id_alarme"], TS, 900, maxima={"dont_go": F.when(F.col("is_dont_go") == 1, 1).otherwise(0)})
+    s = s.withColumn("bin", bucket_start("start", 8 * 3600)).select("tag", "bin", "id_alarme", "start", "n", "dont_go")
+    p = scored(read_table(spark, d, "predictions"), "target", "probabilidade").withColumn("resultado", outcome("target", F.col("probabilidade") >= 0.3)).where("resultado IN ('FP', 'FN')")
+    at = F.col("prediction_time")
+    spans = F.explode(F.sequence(bucket_start(at - F.expr("INTERVAL 24 HOURS"), 8 * 3600), bucket_start(at + F.expr("INTERVAL 8 HOURS"), 8 * 3600), F.expr("INTERVAL 8 HOURS")))
+    p = p.select("sample_id", "tag", "prediction_time", "resultado", spans.alias("bin"))
+    hits = p.join(s, ["tag", "bin"]).where((F.col("start") >= at - F.expr("INTERVAL 24 HOURS")) & (F.col("start") < at + F.expr("INTERVAL 8 HOURS")))
+    part = F.when(F.col("start") < at, "observacao").otherwise("horizonte")
+    return hits.groupBy("sample_id", "tag", "prediction_time", "resultado", part.alias("parte"), "id_alarme").agg(F.count("*").alias("sessoes"), F.sum("n").alias("eventos"), F.sum("dont_go").alias("dont_go"))
+
+
 @R.query("""
 WITH t AS (SELECT event_type AS "to", lag(event_type) OVER w AS "from", date_diff('millisecond', lag(ts) OVER w, ts) AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT "from", "to", count(*) AS n, median(step) AS median_ms, round(avg(step), 3) AS mean_ms FROM t WHERE step IS NOT NULL GROUP BY 1, 2""")

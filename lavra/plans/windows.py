@@ -202,7 +202,7 @@ def _before_positives(t, samples):
 @R.query(f"""WITH {_S}, f AS (SELECT s.tag, s.prediction_time FROM s WHERE EXISTS (SELECT 1 FROM t WHERE t.tag = s.tag AND is_dont_go = 1 AND data_evento >= prediction_time AND data_evento < target_end))
 SELECT f.tag, f.prediction_time, t.id_alarme, count(*) AS n FROM f JOIN t ON t.tag = f.tag AND t.data_evento >= f.prediction_time - INTERVAL 24 HOUR AND t.data_evento < f.prediction_time GROUP BY ALL""")
 def error_context(spark, d):
-    """What alarms the spans before positive samples hold: events lifted to the samples they serve."""
+    """What alarms the spans before positive samples hold: events lifted to the samples they serve (C24 in part; `error_sessions` has the rest)."""
     return _before_positives(_tel(spark, d), _samples(spark, d))
 
 

@@ -92,3 +92,17 @@ def test_more_than_ten_first_seen(spark, tmp_path):
     ids = [5, 3, 5, *range(20, 8, -1), 3]
     d = tel(tmp_path, [event("A", "2025-01-01 01:00", id_alarme=i) for i in ids])
     assert [list(r.alarmes) for r in QUERIES["first_seen_order_whole"](spark, d).collect()] == [list(dict.fromkeys(ids))]
+
+
+def test_sessions_of_errors_in_observation_and_horizon(spark, tmp_path):
+    hours = ["01-31 23:59", "02-01 00:00", "02-01 00:10", "02-01 23:00", "02-02 00:00", "02-02 07:59", "02-02 08:00"]
+    tel(tmp_path, [event("a-1", f"2025-{h}", is_dont_go=int(h == "02-02 07:59"), id_alarme=k // 2) for k, h in enumerate(hours)])
+    p = [(1, 1, 0.1), (2, 0, 0.9), (3, 1, 0.9), (4, 0, 0.1), (5, 1, None)]
+    rows = [{"sample_id": i, "tag": "A1", "prediction_time": datetime(2025, 2, 2), "target": y, "probabilidade": x} for i, y, x in p]
+    schema = pq.read_schema(f"{SOURCE}/predictions.parquet")
+    pq.write_table(pa.Table.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema), tmp_path / "predictions.parquet")
+    got = sorted((r.sample_id, r.resultado, r.parte, r.id_alarme, r.sessoes, r.eventos, r.dont_go) for r in QUERIES["error_sessions"](spark, str(tmp_path)).collect())
+    # the session that begins at 23:59 before the span belongs to no sample, its second event is part of it
+    one = [("horizonte", 2, 2, 2, 1), ("observacao", 1, 2, 2, 0)]
+    assert got == [(i, o, *x) for i, o in ((1, "FN"), (2, "FP")) for x in one]
+    same(QUERIES["error_sessions"](spark, str(tmp_path)), views(str(tmp_path)), SQL["error_sessions"])
