@@ -65,18 +65,12 @@ def sample_grid_of_span(df: DataFrame, entity: str, ts: str, stride_s: int, obse
 
     A table shorter than observation and horizon gives no samples.
     """
-    step = F.expr(f"INTERVAL {stride_s} SECONDS")
     lo = bucket_start(F.min(ts), stride_s) + F.expr(f"INTERVAL {observe_s} SECONDS")
     hi = bucket_start(F.max(ts), stride_s) + F.expr(f"INTERVAL {stride_s - horizon_s} SECONDS")
-    span = df.agg(lo.alias("_lo"), hi.alias("_hi"))
-    times = span.select(F.explode(F.when(F.col("_lo") <= F.col("_hi"), F.sequence("_lo", "_hi", step))).alias("prediction_time"))
-    entities = df.where(F.col(entity).isNotNull()).select(entity).distinct()
-    return entities.crossJoin(times).select(
-        entity,
-        (F.col("prediction_time") - F.expr(f"INTERVAL {observe_s} SECONDS")).alias("feature_start"),
-        "prediction_time",
-        (F.col("prediction_time") + F.expr(f"INTERVAL {horizon_s} SECONDS")).alias("target_end"),
-    )
+    first, last = df.agg(lo.alias("lo"), hi.alias("hi")).first()
+    if first is None or first > last:
+        return sample_grid(df.where("false"), entity, "1970-01-01", "1970-01-01", stride_s, observe_s, horizon_s)
+    return sample_grid(df, entity, first, last, stride_s, observe_s, horizon_s)
 
 
 def with_sample_ids(samples: DataFrame, entity: str) -> DataFrame:

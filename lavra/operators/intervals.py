@@ -97,15 +97,14 @@ def _asof(left: DataFrame, right: DataFrame, entity: str, left_ts: str, right_ts
     rows = left.select(F.col(entity).alias("_e"), F.col(left_ts).alias("_t"), F.lit(None).cast(r.schema["_m"].dataType).alias("_m"), F.struct(*left.columns).alias("_row"))
     r = r.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)).withColumn("_side", F.lit(1 - side))
     both = rows.withColumn("_side", F.lit(side)).unionByName(r).withColumn("_b", block_of("_t", seconds))
-    w = Window.partitionBy("_e", "_b").orderBy("_t", "_side")
-    span = w.rowsBetween(1, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, -1)
-    pick = F.first if forward else F.last
-    near = both.withColumn("_near", pick("_m", ignorenulls=True).over(span))
+    # What comes next is what came last in the opposite order: a frame that grows with the row is kept up, not worked out anew.
+    order = [F.desc("_t"), F.desc("_side")] if forward else ["_t", "_side"]
+    w = Window.partitionBy("_e", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("_near", F.last("_m", ignorenulls=True).over(w))
     tails = r.withColumn("_b", block_of("_t", seconds)).groupBy("_e", "_b").agg((F.min("_m") if forward else F.max("_m")).alias("_edge"))
     blocks = both.select("_e", "_b").distinct().join(tails, ["_e", "_b"], "left")
-    c = Window.partitionBy("_e").orderBy("_b")
-    beyond = c.rowsBetween(1, Window.unboundedFollowing) if forward else c.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_e", "_b", pick("_edge", ignorenulls=True).over(beyond).alias("_far"))
+    beyond = Window.partitionBy("_e").orderBy(F.desc("_b") if forward else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_e", "_b", F.last("_edge", ignorenulls=True).over(beyond).alias("_far"))
     out = near.where("_row IS NOT NULL").join(blocks, ["_e", "_b"], "left").withColumn("_hit", F.coalesce("_near", "_far"))
     if tolerance_s is not None:
         off = F.abs(micros(F.col("_hit.ts")) - micros("_t"))

@@ -138,6 +138,6 @@ def averages(state: DataFrame, periods: Sequence[int] = PERIODS) -> DataFrame:
 
 def silent_after_flag(state: DataFrame, period: int = 7, within: int = 14) -> DataFrame:
     """Days without any row whose trailing ``period`` holds an amount and whose next row comes in ``within`` days."""
-    w = Window.partitionBy("entity").orderBy("day").rowsBetween(1, Window.unboundedFollowing)
-    ahead = F.first(F.when(F.col("n_rows") > 0, F.col("day")), ignorenulls=True).over(w)
+    w = Window.partitionBy("entity").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.last(F.when(F.col("n_rows") > 0, F.col("day")), ignorenulls=True).over(w)
     return state.withColumn("next_day", ahead).where((F.col("n_rows") == 0) & (F.col(f"total_{period}") >= 1) & (F.datediff("next_day", "day") <= within)).select("entity", "day")

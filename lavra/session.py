@@ -33,41 +33,72 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a folder of
-    this process is used and the setting is filled in.
+    The cluster names it in ``spark.checkpoint.dir``. Only in a session on one machine (tests, the bench) may that be
+    unset, and a folder of this process takes its place; on a cluster such a folder would be another one on every
+    executor, so there the setting is required.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "_own", None)
-    if not folder:
-        folder = shared_dir._own = tempfile.mkdtemp(prefix="lavra-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir isn't set; {master} needs a folder that all executors share")
+    if not getattr(shared_dir, "_own", None):
+        shared_dir._own = tempfile.mkdtemp(prefix="lavra-")
+        atexit.register(shutil.rmtree, shared_dir._own, ignore_errors=True)
+    return shared_dir._own
 
 
 _STAGED: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def clear_staged(spark: SparkSession) -> int:
     """Delete the tables this process has staged (whose readers must be done with them); the number deleted."""
-    conf = spark._jsc.hadoopConfiguration()
     done = 0
     while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        done += bool(path.getFileSystem(conf).delete(path, True))
+        done += _delete(spark, _STAGED.pop())
     return done
 
 
+def _clear_at_exit(spark: SparkSession) -> None:
+    try:
+        clear_staged(spark)
+    except Exception:  # noqa: BLE001  the session is gone; its folder is the owner's to clear
+        pass
+
+
 def staged(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts lineage and survives the loss of any executor, because the files lie in the shared folder, not on executors.
+    What is still there when the process ends is deleted then; :func:`unstage` does it at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lavra/{name}-{uuid.uuid4().hex}"
     if partitions:
         df = df.coalesce(partitions)
-    df.write.parquet(path)
+    if not _STAGED and not getattr(staged, "_clears", False):
+        staged._clears = True
+        atexit.register(_clear_at_exit, spark)
     _STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lv_path = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`staged` that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_lv_path", None)
+        if path in _STAGED:
+            _STAGED.remove(path)
+            _delete(t.sparkSession, path)
 
 
 def spread(df: DataFrame) -> DataFrame:
