@@ -96,11 +96,11 @@ def collapse_runs(df: DataFrame, entity: Column, ts: Column, kind: Column, row_i
     )
     own_last = F.when(~F.col("continues") | (F.col("tail.frag") > 0), F.col("offset") + F.col("tail.at"))
     blocks = blocks.select("entity", "block", "offset", "continues", "before_us", own_first.alias("own_first"), own_last.alias("own_last"))
-    later = w.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("entity").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(
         "entity", "block", "offset", "continues", "before_us",
-        F.first("own_first", ignorenulls=True).over(later).alias("next_first"),
+        F.last("own_first", ignorenulls=True).over(later).alias("next_first"),
         F.last("own_last", ignorenulls=True).over(earlier).alias("open_run"),
     )
     placed = frags.join(blocks, ["entity", "block"]).withColumn("is_start", (F.col("frag") > 0) | ~F.col("continues"))
