@@ -11,10 +11,14 @@ brackets. Within an item the end marks of all scripts are weighed in order:
   end a sentence unless a lower-case word or a sign of continuation follows, initials go with the name after them;
 * a quotation or bracket opened after the sentence has begun is passed over whole.
 
-Which words are abbreviations is not listed anywhere. It is decided first by the document itself: a word that stands
-elsewhere in it without a period in mid-sentence is no abbreviation, one followed by a period and a comma is; capitalised
-words seen in mid-sentence are proper names, before which a short capitalised word with a period is a title. Where the
-document says nothing, the counts of the word's contexts over the whole corpus decide.
+Which words are abbreviations is not listed anywhere. The document is asked first, by its unambiguous uses of the word
+elsewhere: with a period in mid-sentence (a comma or the like after it, a number that ends a clause, or a lower-case word
+if the document starts its sentences with capitals) it is an abbreviation, without a period in mid-sentence it is none;
+capitalised words seen in mid-sentence are proper names, before which a short capitalised word with a period is a title.
+Where the document says nothing, or both, the counts of the word's contexts over the whole corpus decide.
+
+Every place is looked at from as far as it takes: no word, blank or run of signs is too long. What was found once (the
+next letter, the start of a dotted word, open brackets by kind) is kept, so the work grows with the text's length.
 
 Places are code points, the end is exclusive, white space at both ends is left out. Null, empty and blank texts have no
 sentence. Nothing is cut off: every other character lies in exactly one sentence. Repeated rows give their sentences each.
@@ -54,9 +58,11 @@ def _ranges(kinds: str) -> str:
 
 
 _LETTERS = re.compile(rf"[{_ranges('LM')}]+")
-_CHAIN_BEFORE = regex.compile(r"(?<![\p{L}\p{M}\p{N}])(?:[\p{L}\p{M}]\.\s?)+[\p{L}\p{M}]$")
 _NAME_AHEAD = regex.compile(r"\p{Lu}[\p{L}\p{M}]+")
 _NAME = regex.compile(r"(?<=\p{Ll}[ \t])(\p{Lu}[\p{L}\p{M}]+)")
+_INK = re.compile(r"\S")
+_ALNUM = re.compile(r"[^\W_]")
+_CLAUSE_END = re.compile(r"\s*\d[\d.,]*(?=[,;:!?)]|\.(?:\s|$))(?<!\.)")
 _OPEN = "“„«「『（(〔[{《〈【‹"
 _CLOSE = "”»」』）)〕]}》〉】›"
 _PAIR = dict(zip("”»」』）)〕]}》〉】›", "“«「『（(〔[{《〈【‹"))
@@ -97,8 +103,11 @@ def _block_items(text: str, at: int, end: int) -> Iterator[tuple[int, int, int]]
             ok = first or first_kind == "dash" or not text[m.end() : m.end() + 1].islower()
         elif kind == "number":
             n = int("".join(c for c in m.group() if c.isdigit()))
-            before = text[at:line_end].rstrip()
-            ok = first or first_kind == "number" or (n == number + 1 and (n > 1 or before[-1:] in _MARKS + ":;"))
+            k = line_end
+            while k > at and text[k - 1].isspace():
+                k -= 1
+            before = text[k - 1 : k] if k > at else ""
+            ok = first or first_kind == "number" or (n == number + 1 and (n > 1 or before in _MARKS + ":;"))
             number = n if ok else number
         elif kind == "letter":
             ok = first or first_kind == "letter"
@@ -116,46 +125,28 @@ def _pairs(events: list[tuple[int, str]]) -> dict[int, int]:
     """Closing place of every quotation or bracket that is closed among an item's events."""
     out: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
+    open_at: dict[str, list[int]] = {}  # places in the stack by kind
     for at, ch in events:
         if ch[0] in _MARKS:
             continue
         if ch == '"':
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == '"'), None)
-            if k is None:
-                stack.append((ch, at))
-                continue
-        elif ch == "“" and any(x == "„" for x, _ in stack):
-            k = max(i for i, x in enumerate(stack) if x[0] == "„")
-        elif ch in _PAIR:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == _PAIR[ch]), None)
-        elif len(ch) == 1 and ch in _OPEN:
-            stack.append((ch, at))
-            continue
+            kind = '"' if open_at.get('"') else None
+        elif ch == "“" and open_at.get("„"):
+            kind = "„"
         else:
-            continue
-        if k is not None:
+            kind = _PAIR.get(ch)
+        if kind is None:
+            if ch == '"' or (len(ch) == 1 and ch in _OPEN):
+                open_at.setdefault(ch, []).append(len(stack))
+                stack.append((ch, at))
+        elif open_at.get(kind):
+            k = open_at[kind][-1]
             out[stack[k][1]] = at
-            del stack[k:]
+            while len(stack) > k:  # what was opened inside and not closed is given up
+                open_at[stack.pop()[0]].pop()
     return out
 
 
-def _ahead(text: str, at: int, end: int) -> str:
-    """What follows: ``c`` a sign of continuation, ``l`` a lower-case word, ``U`` a capital, ``d`` a digit, ``x`` a letter without case, ``E`` nothing."""
-    k = at
-    while k < end and text[k].isspace():
-        k += 1
-    if k >= end:
-        return "E"
-    if text[k] in _CONTINUES:
-        return "c"
-    for ch in text[k : k + 24]:
-        if ch.isalpha():
-            return "l" if ch.islower() else "U" if ch.isupper() or ch.istitle() else "x"
-        if ch.isdigit():
-            return "d"
-    return "x"
-
-
 class _WordChars(dict):
     """Whether a character can stand in a word before a period: a letter or mark, but not of Chinese or Japanese."""
 
@@ -167,16 +158,12 @@ class _WordChars(dict):
 _IN_WORD = _WordChars()
 
 
-def _word(text: str, s: int, p: int) -> str:
-    """The word that ends at ``p``, with the periods inside it (at most 40 characters are looked at)."""
-    low = max(s, p - 40)
-    k = p
-    while k > low:
-        ch = text[k - 1]
-        if not _IN_WORD[ch] and not (ch == "." and k < p and text[k] != "." and k - 1 > low and _IN_WORD[text[k - 2]]):
-            break
-        k -= 1
-    return text[k:p]
+class Kinds(dict):
+    """What the corpus says of words, with the length of its longest."""
+
+    def __init__(self, known: dict[str, str]) -> None:
+        super().__init__(known)
+        self.longest = max(map(len, known), default=0)
 
 
 def _plain_words(text: str) -> list[str]:
@@ -188,14 +175,113 @@ def _plain_words(text: str) -> list[str]:
     return out
 
 
+_NO_USES: Counter = Counter()
+
+
 class _Document:
-    """What a document says of its own words, worked out when first asked."""
+    """A text with its items and end marks, and what it says of its own words, worked out when first asked."""
 
     def __init__(self, text: str) -> None:
         self.text = text
+        self.items = [(s, c, e, [(m.start(), m.group()) for m in _EVENT.finditer(text, c, e)]) for s, c, e in items(text)]
+        self.pairs = [_pairs(i[3]) for i in self.items]
+        self._from = self._alnum = -1
+        self._starts: dict[int, int] = {}
+        self._said: dict[str, Counter] | None = None
         self._plain: set[str] | None = None
         self._names: set[str] | None = None
 
+    def alnum_from(self, at: int) -> int:
+        """The place of the first letter or digit from ``at`` on."""
+        if not self._from <= at <= self._alnum:
+            m = _ALNUM.search(self.text, at)
+            self._from, self._alnum = at, m.start() if m else len(self.text)
+        return self._alnum
+
+    def ahead(self, at: int, end: int) -> str:
+        """What follows: ``c`` a sign of continuation, ``l`` a lower-case word, ``U`` a capital or an opening mark, ``d`` a digit, ``x`` a letter without case or signs only, ``E`` nothing."""
+        m = _INK.search(self.text, at, end)
+        if not m:
+            return "E"
+        if m.group() in _CONTINUES:
+            return "c"
+        if m.group() in "¡¿":
+            return "U"
+        k = self.alnum_from(m.start())
+        if k >= end:
+            return "x"
+        ch = self.text[k]
+        if not ch.isalpha():
+            return "d"
+        return "l" if ch.islower() else "U" if ch.isupper() or ch.istitle() else "x"
+
+    def word_at(self, s: int, p: int) -> int:
+        """Where the word that ends at ``p`` starts, from ``s`` on, with the periods inside it."""
+        text, k = self.text, p
+        while k > 0:
+            ch = text[k - 1]
+            if ch == "." and k < p and text[k] != "." and k > 1 and _IN_WORD[text[k - 2]]:
+                if k - 1 in self._starts:
+                    k = self._starts[k - 1]
+                    break
+            elif not _IN_WORD[ch]:
+                break
+            k -= 1
+        self._starts[p] = k
+        k = max(k, s)
+        while k < p and text[k] == ".":
+            k += 1
+        return k
+
+    def contexts(self) -> Iterator[tuple[str, str, int]]:
+        """(word, what follows, place) for every single period after a word, outside quotations."""
+        text = self.text
+        for (_, content, end, events), pairs in zip(self.items, self.pairs):
+            quotes = iter(sorted((a, b) for a, b in pairs.items() if text[a] not in "([{（"))
+            quote, until = next(quotes, None), -1
+            for p, mark in events:
+                while quote and quote[0] < p:
+                    until, quote = max(until, quote[1]), next(quotes, None)
+                if mark != "." or p < until:
+                    continue
+                nxt = text[p + 1 : p + 2]
+                if nxt.isalnum() or nxt in (".", "…"):
+                    continue
+                k = self.word_at(content, p)
+                before = text[k - 1 : k]
+                if k < p and not (before.isdigit() or before in ("_", ".")):
+                    yield text[k:p], self.ahead(p + 1, end), p
+
+    def _cased(self) -> bool:
+        """Whether the document starts its sentences with capitals: none after a blank line, list marker, ``!`` or ``?`` starts otherwise."""
+        text, upper = self.text, 0
+        for _, content, end, events in self.items:
+            for at in (content, *(p + len(m) for p, m in events if not _FINAL.isdisjoint(m))):
+                k = self.alnum_from(at)
+                if k < end and text[k].isalpha() and (at == content or text[at : at + 1].isspace()):
+                    if text[k].islower():
+                        return False
+                    upper += text[k].isupper()
+        return upper > 0
+
+    def uses(self, word: str) -> Counter:
+        """The document's uses of the word with a period: ``short`` where no sentence can end (``own_`` and what follows is
+        a share of them), ``digits`` before a number, ``number`` before one that ends a clause, ``final`` before a capital or
+        nothing."""
+        if self._said is None:
+            self._said = {}
+            seen = list(self.contexts())
+            cased = any(what == "l" for _, what, _ in seen) and self._cased()
+            for w, what, p in seen:
+                said = self._said.setdefault(w, Counter())
+                if what == "c" or (what == "l" and cased):
+                    said.update(("short", f"own_{what}"))
+                elif what == "d":
+                    said.update(("digits", "number") if _CLAUSE_END.match(self.text, p + 1) else ("digits",))
+                elif what in "UE":
+                    said["final"] += 1
+        return self._said.get(word) or _NO_USES
+
     def is_plain(self, word: str) -> bool:
         if self._plain is None:
             self._plain = set(_plain_words(self.text))
@@ -206,59 +292,94 @@ class _Document:
             self._names = set(_NAME.findall(self.text))
         return word in self._names
 
-    def is_short_form(self, word: str) -> bool:
-        return f"{word}.," in self.text or f"{word}.;" in self.text
+    def kind(self, word: str, ahead: str, known: dict[str, str]) -> tuple[str | None, bool]:
+        """The word's kind, and whether the document decided it; the use that is being decided (``ahead``) is no evidence."""
+        uses, corpus = self.uses(word), known.get(word)
+        short = uses["short"] - (uses["own_" + ahead] > 0) > 0
+        number = uses["number"] > 0 and uses["digits"] > 1 and not uses["final"]
+        if ahead == "d" and (number or corpus == NUMBER):  # many such words are ordinary ones elsewhere
+            return (NUMBER, number) if number or uses["number"] or not uses["final"] else (None, True)
+        if not short and corpus is None:
+            return None, False
+        ordinary = uses["final"] > 0 or self.is_plain(word)
+        if short and not ordinary:
+            return (corpus if corpus in (NEVER, MAYBE) else MAYBE), True
+        if not short and self.is_plain(word):
+            return None, True
+        return corpus, False
+
+
+class _Silent(_Document):
+    """A document that says nothing of its words: the corpus alone decides. For measuring what documents add."""
+
+    def kind(self, word: str, ahead: str, known: dict[str, str]) -> tuple[str | None, bool]:
+        return known.get(word), False
+
+    def is_name(self, word: str) -> bool:
+        return False
+
+
+def _chained(text: str, s: int, p: int) -> bool:
+    """Whether the single letter before ``p`` follows another one with a period, from ``s`` on (``т. е``, ``J.M``)."""
+    k = p - 2
+    if k > s and text[k].isspace():
+        k -= 1
+    return k > s and text[k] == "." and unicodedata.category(text[k - 1])[0] in "LM" and (k < 2 or unicodedata.category(text[k - 2])[0] not in "LMN")
 
 
-def _period_ends(doc: _Document, text: str, s: int, p: int, end: int, known: dict[str, str]) -> bool:
+def _period_ends(doc: _Document, s: int, p: int, end: int, known: Kinds) -> bool:
     """Whether the single period at ``p`` ends a sentence."""
+    text = doc.text
     nxt = text[p + 1 : p + 2]
     joined = nxt and not nxt.isspace() and nxt not in _OPEN and nxt not in _CLOSE and nxt != '"'
     if joined and (not nxt.isupper() or text[p + 2 : p + 3] == "."):
         return False
-    word = _word(text, s, p)
+    at = doc.word_at(s, p)
+    dotted = text.find(".", at, p) >= 0
     if joined:
         # A missing blank: a word in lower case, a number or an abbreviation that may be final, then a capital.
-        kind, before = known.get(word), text[p - 1 : p]
-        if kind == MAYBE:
-            return True
-        return kind is None and len(word) != 1 and "." not in word and (before.islower() or before.isdigit() or before in ")”»\"")
+        if dotted:  # a word longer than all that are known is none of them
+            return p - at <= known.longest and known.get(text[at:p]) == MAYBE
+        word, before = text[at:p], text[p - 1 : p]
+        if len(word) == 1:
+            return known.get(word) == MAYBE
+        kind = doc.kind(word, "", known)[0] if word else None
+        return kind == MAYBE or (kind is None and (before.islower() or before.isdigit() or before in ")”»\""))
     k = p + 1
     while k < end and (text[k] in _CLOSE or text[k] == '"'):
         k += 1
-    ahead = _ahead(text, k, end)
+    ahead = doc.ahead(k, end)
     if ahead == "E":
         return True
-    if not word:
+    if at == p:
         return ahead != "c"
+    word = text[at:p]
     single = len(word) == 1
-    chain = single and text[p - 2 : p - 1] in (".", " ", "\n") and _CHAIN_BEFORE.search(text, max(s, p - 24), p)
+    chain = single and text[p - 2 : p - 1] in (".", " ", "\n") and _chained(text, s, p)
     if single and word.isupper():
-        rest = text[p + 1 : p + 6].lstrip()
-        if rest[1:2] == "." and rest[:1].isupper():
+        m = _INK.search(text, p + 1)
+        if m and m.group().isupper() and text[m.end() : m.end() + 1] == ".":
             return False
         if chain and ahead in "Ulc":
             return False
-        title = _word(text, s, p - 2) if text[p - 3 : p - 1] in (". ", ".\n") else ""
-        title = _word(text, s, p - 3) if text[p - 3 : p - 2] == "." else title
-        if title and known.get(title) == NEVER:
+        back = 2 if text[p - 3 : p - 1] in (". ", ".\n") else 3 if text[p - 3 : p - 2] == "." else 0
+        if back and known.get(text[doc.word_at(s, p - back) : p - back]) == NEVER:
             return False
-    kind = known.get(word)
+    by_document = False
+    if single:
+        kind = known.get(word)
+    else:
+        kind, by_document = doc.kind(word, ahead if k == p + 1 else "", known)
     if kind == NUMBER:
         if ahead == "d":
             return False
         kind = None
-    if "." in word or (chain and word.islower()):
+    if dotted or (chain and word.islower()):
         kind = kind or MAYBE
-    elif not single:
-        if kind is not None:
-            kind = None if doc.is_plain(word) else kind
-        elif doc.is_short_form(word):
-            kind = None if doc.is_plain(word) else MAYBE
-        elif ahead == "U" and len(word) <= 4 and word[0].isupper() and not any(c.isupper() for c in word[1:]):
-            m = _NAME_AHEAD.match(text, p + 2)
-            if m and doc.is_name(m.group()) and not doc.is_plain(word) and not doc.is_plain(m.group().lower()):
-                kind = NEVER
+    elif not single and kind is None and not by_document and ahead == "U" and len(word) <= 4 and word[0].isupper() and not any(c.isupper() for c in word[1:]):
+        m = _NAME_AHEAD.match(text, p + 2)
+        if m and doc.is_name(m.group()) and not doc.is_plain(word) and not doc.is_plain(m.group().lower()):
+            kind = NEVER
     if kind == NEVER:
         return False
     if kind == MAYBE:
@@ -266,15 +387,15 @@ def _period_ends(doc: _Document, text: str, s: int, p: int, end: int, known: dic
     return ahead != "c"
 
 
-def sentences(text: str | None, known: dict[str, str]) -> list[tuple[int, int]]:
+def sentences(text: str | None, known: dict[str, str], document: type[_Document] = _Document) -> list[tuple[int, int]]:
     """The places of a text's sentences; ``known`` maps words to NEVER, MAYBE or NUMBER."""
     if not text or text.isspace():
         return []
+    if not isinstance(known, Kinds):
+        known = Kinds(known)
     out: list[tuple[int, int]] = []
-    doc = _Document(text)
-    for s, content, e in items(text):
-        events = [(m.start(), m.group()) for m in _EVENT.finditer(text, content, e)]
-        pairs = _pairs(events)
+    doc = document(text)
+    for (s, content, e, events), pairs in zip(doc.items, doc.pairs):
         closers = set(pairs.values())
         start, begun, skip = s, content, content
         for p, mark in events:
@@ -285,7 +406,7 @@ def sentences(text: str | None, known: dict[str, str]) -> list[tuple[int, int]]:
                 start = begun = skip = p + len(mark)
                 continue
             if mark[0] not in _MARKS:
-                if p in pairs and any(c.isalnum() for c in text[begun:p]):
+                if p in pairs and doc.alnum_from(begun) < p:
                     skip = pairs[p] + 1  # opened within the sentence: it stays whole
                 continue
             r = p + len(mark)
@@ -293,19 +414,19 @@ def sentences(text: str | None, known: dict[str, str]) -> list[tuple[int, int]]:
                 nxt = text[r : r + 1]
                 ends = not ((nxt.isdigit() or nxt == "=" or (nxt.isascii() and nxt.islower())) and not text[p - 1 : p].isspace())
             elif mark == ".":
-                ends = _period_ends(doc, text, begun, p, e, known)
+                ends = _period_ends(doc, begun, p, e, known)
             else:
-                ahead = _ahead(text, r, e)
-                near = text[r : e][:24].lstrip()[:1]
+                near = _INK.search(text, r, e)
                 cjk = _CJK.match(text[p - 1 : p]) if p > begun else None
-                ends = not cjk and ahead not in "lc" and not _CJK.match(near or " ")
+                ends = not cjk and doc.ahead(r, e) not in "lc" and not (near and _CJK.match(near.group()))
             if not ends:
                 continue
-            quoted = False
+            last_quote = -1
             while r < e and (text[r] in _CLOSE or (text[r] == '"' and r in closers) or text[r] in _MARKS):
-                quoted |= text[r] in "”»」』›\""
+                last_quote = r if text[r] in "”»」』›\"" else last_quote
                 r += 1
-            if quoted and _ahead(text, r, e) in "lc" and text[r : r + 1].isspace():
+            if last_quote >= 0 and text[r : r + 1].isspace() and doc.ahead(r, e) in "lc":
+                skip = last_quote  # the marks before it would come to the same
                 continue
             out.append((start, r))
             start = begun = skip = r
@@ -324,21 +445,28 @@ def sentences(text: str | None, known: dict[str, str]) -> list[tuple[int, int]]:
 
 def evidence(text: str, counts: Counter) -> None:
     """Add the contexts of the text's words before single periods, outside quotations, and of words without one."""
-    for s, content, e in items(text):
-        p = text.find(".", content, e)
-        if p < 0:
-            continue
-        quotes = [(a, b) for a, b in _pairs([(m.start(), m.group()) for m in _EVENT.finditer(text, content, e)]).items() if text[a] not in "([{（"]
-        while p >= 0:
-            nxt = text[p + 1 : p + 2]
-            if not (nxt.isalnum() or nxt in (".", "…")) and (w := _word(text, content, p)):
-                before = text[p - len(w) - 1 : p - len(w)]
-                if not (before.isdigit() or before in ("_", ".")) and not any(a < p < b for a, b in quotes):
-                    counts[w, _ahead(text, p + 1, e)] += 1
-            p = text.find(".", p + 1, e)
+    if "." in text:
+        counts.update((w, what) for w, what, _ in _Document(text).contexts())
     counts.update((w, "n") for w in _plain_words(text))
 
 
+def period_words(text: str, longest: int) -> set[str]:
+    """Every word of at most ``longest`` characters that can be asked for when the text's periods are decided: those before
+    its periods and, of dotted ones, their ends."""
+    doc, out = _Document(text), set()
+    for _, content, _, events in doc.items:
+        for p, mark in events:
+            if mark[0] == ".":
+                at = k = doc.word_at(content, p)
+                if at < p - longest:
+                    at = k = p - longest
+                while k < p:
+                    if k == at or text[k - 1] == ".":
+                        out.add(text[k:p])
+                    k += 1
+    return out
+
+
 def word_kinds(df: DataFrame, text_col: str) -> DataFrame:
     """(word, kind) of the corpus's abbreviations, from the counts of all documents."""
 
@@ -374,7 +502,7 @@ def sentence_units(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, s_start, s_end): one row per sentence of every document.
 
     The abbreviations of the corpus go to every task if they are at most BROADCAST_WORDS (counted first). Beyond that
-    each document is joined with those of its own words.
+    each document is joined with those of its own words, as the cutting itself would ask for them; the result is the same.
     """
     kinds = staged(word_kinds(df, text_col), "word-kinds")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -394,12 +522,24 @@ def sentence_units(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         known = df.sparkSession.sparkContext.broadcast({r["word"]: r["kind"] for r in few})
 
         def with_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            every = Kinds(known.value)
             for b in batches:
-                yield cut(b, lambda i: known.value)
+                yield cut(b, lambda i: every)
 
         return rows.mapInArrow(with_all, schema)
+    longest = kinds.agg(F.max(F.length("word"))).first()[0]
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, words = [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                mine = period_words(text, longest)
+                keys += [key] * len(mine)
+                words += mine
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["key", "word"])
+
     keyed = staged(rows.withColumn("key", F.monotonically_increasing_id()), "sentence-rows")
-    words = keyed.select("key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"((?:[\p{L}\p{M}]+\.)*[\p{L}\p{M}]+)\."), 1))).alias("word"))
+    words = keyed.select("key", "text").where("text IS NOT NULL").mapInArrow(asked, "key long, word string")
     own = words.join(kinds, "word").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "kind"))).alias("known"))
 
     def with_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
