@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lavra.functions.text import strip_accents, strip_outer, text_concept
+from lavra.functions.text import text_concept
 from lavra.operators import concepts, events, intervals, quality
+from lavra.plans.names_sql import BARE, concept
 from lavra.plans.registry import Registry
 from lavra.sources import read_table
 
@@ -63,26 +64,12 @@ def id_conflicts(spark, d):
     return quality.conflicts(read_table(spark, d, "tel"), F.trim("alarme"), "id_alarme")
 
 
-_ASCII = r"\A[ -~À-ÖØ-öø-ÿ\t]*\z"
-
-
-@R.query("""
-WITH t AS (SELECT DISTINCT id_alarme, alarme FROM tel WHERE regexp_full_match(alarme, '[ -~À-ÖØ-öø-ÿ\\t]*')),
-f AS (SELECT id_alarme, 'cru' AS form, alarme AS v FROM t UNION ALL SELECT id_alarme, 'aparado', regexp_replace(alarme, '^\\s+|\\s+$', '', 'g') FROM t
-  UNION ALL SELECT id_alarme, 'sem_acento', lower(strip_accents(regexp_replace(alarme, '^\\s+|\\s+$', '', 'g'))) FROM t
-  UNION ALL SELECT id_alarme, 'conceito', trim(regexp_replace(lower(strip_accents(regexp_replace(regexp_replace(alarme, '^\\s+|\\s+$', '', 'g'), '\\s*\\([^()]*\\)\\s*$', ''))), '[^a-z0-9]+', ' ', 'g')) FROM t),
+@R.query(f"""WITH {BARE}, t AS (SELECT DISTINCT id_alarme, alarme FROM tel),
+f AS (SELECT id_alarme, form, v FROM t LEFT JOIN bare USING (alarme), LATERAL (VALUES ('cru', alarme), ('aparado', aparado), ('sem_acento', lower(solto)), ('conceito', {concept("solto")})) x(form, v)),
 g AS (SELECT form, id_alarme, count(DISTINCT v) AS n FROM f GROUP BY 1, 2)
 SELECT form, count(*) FILTER (WHERE n > 1) AS keys FROM g GROUP BY 1""")
 def normalisation_conflicts(spark, d):
-    """How many ids keep several names in Latin letters as the name is normalised further."""
-    t = read_table(spark, d, "tel").where(F.col("alarme").rlike(_ASCII))
-    a = F.col("alarme")
-    return quality.conflicts_by_form(t, "id_alarme", {"cru": a, "aparado": strip_outer(a), "sem_acento": F.lower(strip_accents(strip_outer(a))), "conceito": text_concept(a)})
-
-
-@R.query()
-def normalisation_conflicts_whole(spark, d):
-    """The same for names in any characters."""
+    """How many ids keep several names as the name is normalised further."""
     t = read_table(spark, d, "tel").select("id_alarme", "alarme").distinct()
     a, bare = F.col("alarme"), concepts.stripped("alarme")
     t = t.select("id_alarme", a.alias("cru"), bare.alias("aparado"), concepts.unaccented(bare).alias("solto"))
@@ -103,18 +90,10 @@ def shift_parsing(spark, d):
     return t.agg(F.count("*").alias("rows"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("sem_turno"), F.count_if(F.col("b") < F.col("a")).alias("invertidos"), F.count_if((F.col("a") <= F.col("b")) & ((F.col("ts") < F.col("a")) | (F.col("ts") >= F.col("b")))).alias("fora"))
 
 
-@R.query("""
-WITH p AS (SELECT CAST(data_evento AS DATE) AS day, count(*) AS n FROM tel WHERE tag = 'CA70114' GROUP BY 1), g AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM p)
-SELECT g.day, coalesce(n, 0) AS n FROM g LEFT JOIN p USING (day)""")
-def daily_coverage(spark, d):
-    """Rows of the tag CA70114 on every day from its first to its last, missing days too."""
-    return quality.daily_coverage(read_table(spark, d, "tel").where("tag = 'CA70114'"), "data_evento")
-
-
 @R.query("""
 WITH p AS (SELECT CAST(data_evento AS DATE) AS day, count(*) AS n FROM tel WHERE data_evento IS NOT NULL GROUP BY 1), g AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM p)
 SELECT g.day, coalesce(n, 0) AS n FROM g LEFT JOIN p USING (day)""")
-def daily_coverage_whole(spark, d):
+def daily_coverage(spark, d):
     """The same for the rows of every tag."""
     return quality.daily_coverage(read_table(spark, d, "tel"), "data_evento")
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lavra.functions.text import folded, strip_accents, strip_outer, text_concept
+from lavra.functions.text import folded, text_concept
 from lavra.functions.time import bucket_start, hours_between, micros, millis, seconds_between
 from lavra.operators import concepts, quality
+from lavra.plans.names_sql import BARE, concept
 from lavra.plans.registry import Registry
 from lavra.sources import calendar, grid, read_table, scan
 
@@ -187,9 +188,9 @@ def join_dimensions(spark, d):
 
 @R.query("SELECT l_suppkey AS fornecedor, l_orderkey AS pedido, l_linenumber AS linha, round(l_quantity - m, 6) AS desvio FROM lineitem JOIN (SELECT l_suppkey AS k, avg(l_quantity) AS m FROM lineitem GROUP BY 1) ON k = l_suppkey WHERE l_quantity > 1.9 * m")
 def join_back(spark, d):
-    """Group statistics joined back to the rows: one window, one shuffle."""
-    m = F.avg("l_quantity").over(Window.partitionBy("l_suppkey"))
-    t = T(spark, d, "lineitem").withColumn("m", m).where(F.col("l_quantity") > 1.9 * F.col("m"))
+    """Group statistics joined back to the rows: means combined before their shuffle, so no key's rows meet in one task."""
+    t = T(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    t = t.join(t.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("m")), "l_suppkey").where(F.col("l_quantity") > 1.9 * F.col("m"))
     return t.select(F.col("l_suppkey").alias("fornecedor"), F.col("l_orderkey").alias("pedido"), F.col("l_linenumber").alias("linha"), F.round(F.col("l_quantity") - F.col("m"), 6).alias("desvio"))
 
 
@@ -259,18 +260,10 @@ def _first_seen(spark, d):
     return f.groupBy("tag").agg(F.transform(order, lambda x: x["id_alarme"]).alias("alarmes"))
 
 
-@R.query("""
-WITH f AS (SELECT tag, id_alarme, min(id_eventos_telemetria) AS i FROM tel GROUP BY 1, 2)
-SELECT tag, list(id_alarme ORDER BY i)[1:10] AS alarmes FROM f GROUP BY 1""")
-def first_seen_order(spark, d):
-    """The first ten distinct values in the order first seen."""
-    return _first_seen(spark, d).withColumn("alarmes", F.slice("alarmes", 1, 10))
-
-
 @R.query("""
 WITH f AS (SELECT tag, id_alarme, min(id_eventos_telemetria) AS i FROM tel GROUP BY 1, 2)
 SELECT tag, list(id_alarme ORDER BY i) AS alarmes FROM f GROUP BY 1""")
-def first_seen_order_whole(spark, d):
+def first_seen_order(spark, d):
     """All distinct values in the order first seen."""
     return _first_seen(spark, d)
 
@@ -421,20 +414,10 @@ def distinct_rows(spark, d):
 # Scalar functions
 
 
-@R.query("""
-SELECT DISTINCT alarme, regexp_replace(alarme, '^\\s+|\\s+$', '', 'g') AS sem_bordas, lower(alarme) AS minusculo, strip_accents(alarme) AS sem_acento,
-  trim(regexp_replace(lower(strip_accents(regexp_replace(regexp_replace(alarme, '^\\s+|\\s+$', '', 'g'), '\\s*\\([^()]*\\)\\s*$', ''))), '[^a-z0-9]+', ' ', 'g')) AS conceito,
-  substring(alarme, 1, 2) AS prefixo, replace(alarme, ' ', '_') AS rotulo
-FROM tel WHERE regexp_full_match(alarme, '[ -~À-ÖØ-öø-ÿ\\t]*')""")
+@R.query(f"""WITH {BARE} SELECT alarme, aparado AS sem_bordas, lower(alarme) AS minusculo, cru_solto AS sem_acento, {concept("solto")} AS conceito,
+  substring(alarme, 1, 2) AS prefixo, replace(alarme, ' ', '_') AS rotulo FROM bare""")
 def text_normalisation(spark, d):
-    """Outer blanks, case, accents, concept text, prefix and replacement of names in Latin letters as native columns."""
-    a = T(spark, d, "tel").select("alarme").distinct().where(F.col("alarme").rlike(r"\A[ -~À-ÖØ-öø-ÿ\t]*\z"))
-    return a.select("alarme", strip_outer("alarme").alias("sem_bordas"), F.lower("alarme").alias("minusculo"), strip_accents("alarme").alias("sem_acento"), text_concept("alarme").alias("conceito"), F.substring("alarme", 1, 2).alias("prefixo"), F.replace("alarme", F.lit(" "), F.lit("_")).alias("rotulo"))
-
-
-@R.query()
-def text_normalisation_whole(spark, d):
-    """The same for names in any characters."""
+    """Outer blanks, case, accents, concept text, prefix and replacement of every name."""
     a = T(spark, d, "tel").select("alarme").distinct()
     bare = concepts.stripped("alarme")
     return a.select("alarme", bare.alias("sem_bordas"), F.lower("alarme").alias("minusculo"), concepts.unaccented("alarme").alias("sem_acento"), text_concept(concepts.unaccented(bare)).alias("conceito"), F.substring("alarme", 1, 2).alias("prefixo"), F.replace("alarme", F.lit(" "), F.lit("_")).alias("rotulo"))

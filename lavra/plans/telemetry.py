@@ -10,6 +10,7 @@ from lavra.functions.time import bucket_start, micros
 from lavra.operators import concepts, events, intervals, quality
 from lavra.operators.evaluation import outcome, scored, with_and_without
 from lavra.plans.audit import CONTENT
+from lavra.plans.names_sql import BARE, concept
 from lavra.plans.registry import Registry
 from lavra.sources import read_table
 
@@ -245,19 +246,10 @@ def with_without_alert(spark, d):
 # Text concepts
 
 
-@R.query("""
-WITH t AS (SELECT DISTINCT id_alarme, alarme FROM tel WHERE regexp_full_match(alarme, '[ -~À-ÖØ-öø-ÿ\\t]*')),
-c AS (SELECT id_alarme, trim(regexp_replace(lower(strip_accents(regexp_replace(regexp_replace(alarme, '^\\s+|\\s+$', '', 'g'), '\\s*\\([^()]*\\)\\s*$', ''))), '[^a-z0-9]+', ' ', 'g')) AS conceito FROM t)
+@R.query(f"""WITH {BARE}, c AS (SELECT id_alarme, {concept("solto")} AS conceito FROM (SELECT DISTINCT id_alarme, alarme FROM tel) LEFT JOIN bare USING (alarme))
 SELECT conceito, count(DISTINCT id_alarme) AS ids, min(id_alarme) AS menor FROM c GROUP BY 1""")
 def text_concepts(spark, d):
-    """The catalogue of alarm concepts, made from distinct names in Latin letters only (C11)."""
-    t = _tel(spark, d).select("id_alarme", "alarme").distinct().where(F.col("alarme").rlike(r"\A[ -~À-ÖØ-öø-ÿ\t]*\z"))
-    return t.select("id_alarme", text_concept("alarme").alias("conceito")).groupBy("conceito").agg(F.count_distinct("id_alarme").alias("ids"), F.min("id_alarme").alias("menor"))
-
-
-@R.query()
-def text_concepts_whole(spark, d):
-    """The same for names in any characters; ids without a name stand under a null concept (C11)."""
+    """The catalogue of alarm concepts, made from distinct names; ids without a name stand under a null concept (C11)."""
     t = _tel(spark, d).select("id_alarme", "alarme").distinct()
     c = text_concept(concepts.unaccented(concepts.stripped("alarme")))
     return t.select("id_alarme", c.alias("conceito")).groupBy("conceito").agg(F.count_distinct("id_alarme").alias("ids"), F.min("id_alarme").alias("menor"))
@@ -270,21 +262,13 @@ def _families(t):
     return t.groupBy(c.alias("conceito"), f.alias("familia")).agg(F.sum("n").alias("n"), F.count_distinct("id_alarme").alias("ids"))
 
 
-@R.query("""
-WITH t AS (SELECT id_alarme, lower(strip_accents(alarme)) AS x, count(*) AS n FROM tel WHERE regexp_full_match(alarme, '[ -~À-ÖØ-öø-ÿ\\t]*') GROUP BY 1, 2)
+@R.query(f"""WITH {BARE}, t AS (SELECT id_alarme, lower(cru_solto) AS x, count(*) AS n FROM tel LEFT JOIN bare USING (alarme) GROUP BY 1, 2)
 SELECT CASE WHEN contains(x, 'temperat') THEN 'temperatura' WHEN contains(x, 'press') THEN 'pressao' WHEN contains(x, 'sensor') OR contains(x, 'comunica') OR contains(x, 'signal') THEN 'sinal'
   WHEN contains(x, 'vibra') THEN 'vibracao' WHEN contains(x, 'nivel') OR contains(x, 'level') THEN 'nivel' ELSE 'outro' END AS conceito,
   CASE WHEN contains(x, 'freio') OR contains(x, 'brake') THEN 'freio' WHEN contains(x, 'motor') OR contains(x, 'turbo') OR contains(x, 'fuel') THEN 'motor' WHEN contains(x, 'hidraul') OR contains(x, 'hydraul') THEN 'hidraulica' ELSE 'outra' END AS familia,
   CAST(sum(n) AS BIGINT) AS n, count(DISTINCT id_alarme) AS ids FROM t GROUP BY 1, 2""")
 def concept_family(spark, d):
-    """Concept and family of a name in Latin letters by ordered rules, the first that fits wins."""
-    t = _tel(spark, d).where(F.col("alarme").rlike(r"\A[ -~À-ÖØ-öø-ÿ\t]*\z")).groupBy("id_alarme", concepts.ruled_text("alarme").alias("x")).agg(F.count("*").alias("n"))
-    return _families(t)
-
-
-@R.query()
-def concept_family_whole(spark, d):
-    """The same for names in any characters; rows without a name have no concept and no family."""
+    """Concept and family of a name by ordered rules, the first that fits wins; rows without a name have the rest's."""
     t = _tel(spark, d).groupBy("id_alarme", "alarme").agg(F.count("*").alias("n"))
     return _families(t.select("id_alarme", F.lower(concepts.unaccented("alarme")).alias("x"), "n"))
 

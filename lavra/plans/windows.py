@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from lavra.functions.text import plain_key
 from lavra.functions.time import bucket_start
 from lavra.operators import concepts, encoding, grid
+from lavra.plans.names_sql import BARE
 from lavra.plans.registry import Registry
 from lavra.sources import read_table
 
 R = Registry()
 BIN = 8 * 3600
-#: One month, stated in the SQL of the sample queries; those called ..._whole cover the span of the table.
-FIRST, LAST = "2025-02-01 00:00:00", "2025-02-28 16:00:00"
 OUTAGES = [("2025-02-10 00:00:00", "2025-02-11 00:00:00"), ("2025-02-20 12:00:00", "2025-02-20 13:00:00")]
 
 
@@ -70,70 +69,38 @@ def multi_window_buckets(spark, d):
     return out.select("tag", "bin", "n_b0", "n_b1", "n_b2", "n_delta", F.round("n_ratio", 9).alias("n_ratio"))
 
 
-_S = f"""{_B}, tg AS (SELECT DISTINCT tag FROM t WHERE tag IS NOT NULL),
-s AS (SELECT tag, CAST(p - INTERVAL 24 HOUR AS TIMESTAMP) AS feature_start, CAST(p AS TIMESTAMP) AS prediction_time, CAST(p + INTERVAL 8 HOUR AS TIMESTAMP) AS target_end FROM tg, (SELECT unnest(generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LAST}', INTERVAL 8 HOUR)) AS p))"""
-
-
-def _samples(spark, d):
-    return grid.sample_grid(_tel(spark, d), "tag", FIRST, LAST, BIN, 24 * 3600, BIN)
-
-
-_W = f"""{_B}, tg AS (SELECT DISTINCT tag FROM t WHERE tag IS NOT NULL), sp AS (SELECT time_bucket(INTERVAL '8 hours', min(data_evento)) AS lo, time_bucket(INTERVAL '8 hours', max(data_evento)) AS hi FROM tel),
+_S = f"""{_B}, tg AS (SELECT DISTINCT tag FROM t WHERE tag IS NOT NULL), sp AS (SELECT time_bucket(INTERVAL '8 hours', min(data_evento)) AS lo, time_bucket(INTERVAL '8 hours', max(data_evento)) AS hi FROM tel),
 s AS (SELECT tag, CAST(p - INTERVAL 24 HOUR AS TIMESTAMP) AS feature_start, CAST(p AS TIMESTAMP) AS prediction_time, CAST(p + INTERVAL 8 HOUR AS TIMESTAMP) AS target_end FROM tg, (SELECT unnest(generate_series(lo + INTERVAL 24 HOUR, hi, INTERVAL 8 HOUR)) AS p FROM sp))"""
 
 
-def _whole(spark, d):
+def _samples(spark, d):
     return grid.sample_grid_of_span(_tel(spark, d), "tag", "data_evento", BIN, 24 * 3600, BIN)
 
 
 @R.query(f"WITH {_S} SELECT *, row_number() OVER (ORDER BY prediction_time, tag) AS sample_id FROM s")
 def sample_grid(spark, d):
-    """Every tag at every 8 hours of FIRST to LAST, with the span observed and the horizon, numbered in order."""
+    """Every tag at every 8 hours of the span of the table, with the span observed and the horizon, numbered in order."""
     return grid.with_sample_ids(_samples(spark, d), "tag")
 
 
-@R.query(f"WITH {_W} SELECT *, row_number() OVER (ORDER BY prediction_time, tag) AS sample_id FROM s")
-def sample_grid_whole(spark, d):
-    """The same over the whole span of the table."""
-    return grid.with_sample_ids(_whole(spark, d), "tag")
-
-
 @R.query(f"""WITH {_S} SELECT s.*, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, CAST(coalesce(sum(criticos), 0) AS BIGINT) AS criticos FROM s LEFT JOIN b ON b.tag = s.tag AND b.bin >= feature_start AND b.bin < prediction_time GROUP BY ALL""")
 def sliding_features(spark, d):
     """Counts over the 24 hours before each sample, by an equality join of lifted bins."""
     return grid.sliding(_samples(spark, d), _bins(spark, d), "tag", BIN, 24 * 3600, ["n", "criticos"])
 
 
-@R.query(f"""WITH {_W} SELECT s.*, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, CAST(coalesce(sum(criticos), 0) AS BIGINT) AS criticos FROM s LEFT JOIN b ON b.tag = s.tag AND b.bin >= feature_start AND b.bin < prediction_time GROUP BY ALL""")
-def sliding_features_whole(spark, d):
-    """The same for the samples of the whole span."""
-    return grid.sliding(_whole(spark, d), _bins(spark, d), "tag", BIN, 24 * 3600, ["n", "criticos"])
-
-
 @R.query(f"""WITH {_S} SELECT s.*, CAST(EXISTS (SELECT 1 FROM t WHERE t.tag = s.tag AND is_dont_go = 1 AND data_evento >= prediction_time AND data_evento < target_end) AS INTEGER) AS target FROM s""")
 def target_horizon(spark, d):
     """Whether a flagged event starts in the horizon."""
     return grid.horizon_target(_samples(spark, d), _tel(spark, d).where("is_dont_go = 1"), "tag", "data_evento", BIN, BIN)
 
 
-@R.query(f"""WITH {_W} SELECT s.*, CAST(EXISTS (SELECT 1 FROM t WHERE t.tag = s.tag AND is_dont_go = 1 AND data_evento >= prediction_time AND data_evento < target_end) AS INTEGER) AS target FROM s""")
-def target_horizon_whole(spark, d):
-    """The same for the samples of the whole span."""
-    return grid.horizon_target(_whole(spark, d), _tel(spark, d).where("is_dont_go = 1"), "tag", "data_evento", BIN, BIN)
-
-
 @R.query(f"WITH {_S} SELECT s.*, NOT (" + " OR ".join(f"(feature_start < TIMESTAMP '{b}' AND target_end > TIMESTAMP '{a}')" for a, b in OUTAGES) + ") AS valid FROM s")
 def gap_invalidation(spark, d):
     """Samples whose span touches an outage."""
     return grid.outside(_samples(spark, d), OUTAGES)
 
 
-@R.query(f"WITH {_W} SELECT s.*, NOT (" + " OR ".join(f"(feature_start < TIMESTAMP '{b}' AND target_end > TIMESTAMP '{a}')" for a, b in OUTAGES) + ") AS valid FROM s")
-def gap_invalidation_whole(spark, d):
-    """The same for the samples of the whole span."""
-    return grid.outside(_whole(spark, d), OUTAGES)
-
-
 @R.query("""SELECT CASE WHEN prediction_time < TIMESTAMP '2025-03-01' THEN 'treino' WHEN prediction_time < TIMESTAMP '2025-05-01' THEN 'validacao' ELSE 'teste' END AS split, count(*) AS n, CAST(sum(target) AS BIGINT) AS positivos, min(prediction_time) AS de, max(prediction_time) AS ate FROM predictions GROUP BY 1""")
 def chronological_split(spark, d):
     """Splits in order of time."""
@@ -206,13 +173,6 @@ def error_context(spark, d):
     return _before_positives(_tel(spark, d), _samples(spark, d))
 
 
-@R.query(f"""WITH {_W}, f AS (SELECT s.tag, s.prediction_time FROM s WHERE EXISTS (SELECT 1 FROM t WHERE t.tag = s.tag AND is_dont_go = 1 AND data_evento >= prediction_time AND data_evento < target_end))
-SELECT f.tag, f.prediction_time, t.id_alarme, count(*) AS n FROM f JOIN t ON t.tag = f.tag AND t.data_evento >= f.prediction_time - INTERVAL 24 HOUR AND t.data_evento < f.prediction_time GROUP BY ALL""")
-def error_context_whole(spark, d):
-    """The same for the positive samples of the whole span."""
-    return _before_positives(_tel(spark, d), _whole(spark, d))
-
-
 FAMILIES = [("freio", ["freio", "brake"]), ("motor", ["motor", "turbo", "fuel"]), ("hidraulica", ["hidraul", "hydraul"])]
 _FAM = "CASE WHEN contains(x, 'freio') OR contains(x, 'brake') THEN 'freio' WHEN contains(x, 'motor') OR contains(x, 'turbo') OR contains(x, 'fuel') THEN 'motor' WHEN contains(x, 'hidraul') OR contains(x, 'hydraul') THEN 'hidraulica' END"
 
@@ -225,21 +185,14 @@ def _active(t):
     return out.select("tag", "bin", *[f"{n}_sum_{w}" for n in names for w in (3, 9)], F.col("juntas_sum_1").cast("int").alias("juntas"))
 
 
-@R.query(f"""WITH t AS (SELECT nullif(upper(regexp_replace(tag, '[^\\p{{L}}\\p{{N}}]', '', 'g')), '') AS tag, data_evento, lower(strip_accents(alarme)) AS x FROM tel WHERE regexp_full_match(alarme, '[ -~À-ÖØ-öø-ÿ\\t]*')),
+@R.query(f"""WITH {BARE}, t AS (SELECT nullif(upper(regexp_replace(tag, '[^\\p{{L}}\\p{{N}}]', '', 'g')), '') AS tag, data_evento, lower(cru_solto) AS x FROM tel LEFT JOIN bare USING (alarme)),
 b AS (SELECT tag, time_bucket(INTERVAL '8 hours', data_evento) AS bin, """ + ", ".join(f"count(*) FILTER (WHERE f = '{n}') AS {n}" for n, _ in FAMILIES) + f""" FROM (SELECT *, {_FAM} AS f FROM t) GROUP BY 1, 2),
 sp AS (SELECT tag, min(bin) AS lo, max(bin) AS hi FROM b GROUP BY 1), gr AS (SELECT tag, CAST(unnest(generate_series(lo, hi, INTERVAL 8 HOUR)) AS TIMESTAMP) AS bin FROM sp),
 dn AS (SELECT tag, bin, """ + ", ".join(f"coalesce({n}, 0) AS {n}" for n, _ in FAMILIES) + """ FROM gr LEFT JOIN b USING (tag, bin)),
 r AS (SELECT tag, bin, row_number() OVER w AS rn, """ + ", ".join(f"CAST(sum({n}) OVER (PARTITION BY tag ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS BIGINT) AS {n}_sum_3, CAST(sum({n}) OVER (PARTITION BY tag ORDER BY bin ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS BIGINT) AS {n}_sum_9" for n, _ in FAMILIES) + ", " + " + ".join(f"lag(CAST({n} > 0 AS INTEGER)) OVER w" for n, _ in FAMILIES) + """ AS juntas
   FROM dn WINDOW w AS (PARTITION BY tag ORDER BY bin)) SELECT * EXCLUDE (rn) FROM r WHERE rn > 1""")
 def family_activity(spark, d):
-    """Counts by family (of names in Latin letters) and 8 hours, their last 24 and 72 hours, and how many families were active at once, seen from before."""
-    t = read_table(spark, d, "tel").where(F.col("alarme").rlike(r"\A[ -~À-ÖØ-öø-ÿ\t]*\z")).select(plain_key("tag").alias("tag"), "data_evento", concepts.by_rules(concepts.ruled_text("alarme"), FAMILIES, "").alias("f"))
-    return _active(t)
-
-
-@R.query()
-def family_activity_whole(spark, d):
-    """The same for names in any characters; rows without a name belong to no family."""
+    """Counts by family and 8 hours, their last 24 and 72 hours, and how many families were active at once, seen from before; rows without a name belong to no family."""
     t = read_table(spark, d, "tel").select(plain_key("tag").alias("tag"), "data_evento", "alarme")
     f = concepts.by_rules(F.lower(concepts.unaccented("alarme")), FAMILIES, "")
     named = t.select("alarme").distinct().select("alarme", f.alias("f")).where("f <> ''")
@@ -260,22 +213,12 @@ def _experiments(spark, d, samples):
     return out
 
 
-@R.query(f"WITH {_S}, fl AS (SELECT DISTINCT tag, data_evento FROM t WHERE is_dont_go = 1), e AS (SELECT * FROM (VALUES " + ", ".join(f"({o}, {h})" for o, h in _EXPERIMENTS) + """) v(observa, horizonte))
-SELECT CAST(observa AS INTEGER) AS observa, CAST(horizonte AS INTEGER) AS horizonte, count(*) AS amostras,
-  count(*) FILTER (WHERE EXISTS (SELECT 1 FROM fl WHERE fl.tag = s.tag AND fl.data_evento >= prediction_time AND fl.data_evento < prediction_time + INTERVAL 1 HOUR * horizonte)) AS positivas,
-  count(*) FILTER (WHERE EXISTS (SELECT 1 FROM b WHERE b.tag = s.tag AND b.bin >= prediction_time - INTERVAL 1 HOUR * observa AND b.bin < prediction_time)) AS com_eventos
-FROM s, e GROUP BY 1, 2""")
-def experiment_grid(spark, d):
-    """Samples, positives and observed samples for every observation and horizon."""
-    return _experiments(spark, d, lambda t, obs, hor: grid.sample_grid(t, "tag", FIRST, LAST, BIN, obs, hor))
-
-
 @R.query(f"WITH {_B}, tg AS (SELECT DISTINCT tag FROM t WHERE tag IS NOT NULL), fl AS (SELECT DISTINCT tag, data_evento FROM t WHERE is_dont_go = 1), e AS (SELECT * FROM (VALUES " + ", ".join(f"({o}, {h})" for o, h in _EXPERIMENTS) + """) v(observa, horizonte)),
 sp AS (SELECT observa, horizonte, time_bucket(INTERVAL '8 hours', min(data_evento)) + INTERVAL 1 HOUR * observa AS lo, time_bucket(INTERVAL '8 hours', max(data_evento)) + INTERVAL 1 HOUR * (8 - horizonte) AS hi FROM tel, e GROUP BY 1, 2),
 s AS (SELECT tag, observa, horizonte, CAST(p AS TIMESTAMP) AS prediction_time FROM tg, (SELECT observa, horizonte, unnest(generate_series(lo, hi, INTERVAL 8 HOUR)) AS p FROM sp)),
 n AS (SELECT observa, horizonte, count(*) AS amostras FROM s GROUP BY 1, 2), po AS (SELECT observa, horizonte, count(*) AS positivas FROM (SELECT DISTINCT s.* FROM s JOIN fl ON fl.tag = s.tag AND fl.data_evento >= prediction_time AND fl.data_evento < prediction_time + INTERVAL 1 HOUR * horizonte) GROUP BY 1, 2),
 co AS (SELECT observa, horizonte, count(*) AS com_eventos FROM (SELECT DISTINCT s.* FROM s JOIN b ON b.tag = s.tag AND b.bin >= prediction_time - INTERVAL 1 HOUR * observa AND b.bin < prediction_time) GROUP BY 1, 2)
 SELECT CAST(observa AS INTEGER) AS observa, CAST(horizonte AS INTEGER) AS horizonte, amostras, coalesce(positivas, 0) AS positivas, coalesce(com_eventos, 0) AS com_eventos FROM n LEFT JOIN po USING (observa, horizonte) LEFT JOIN co USING (observa, horizonte)""")
-def experiment_grid_whole(spark, d):
-    """The same for the samples of the whole span, each experiment with the first and last it has room for."""
+def experiment_grid(spark, d):
+    """Samples, positives and observed samples for every observation and horizon over the span of the table, each experiment with the first and last it has room for."""
     return _experiments(spark, d, lambda t, obs, hor: grid.sample_grid_of_span(t, "tag", "data_evento", BIN, obs, hor))
