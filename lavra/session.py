@@ -72,6 +72,16 @@ def _clear_at_exit(spark: SparkSession) -> None:
         pass
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder within the shared one, deleted when the process ends."""
+    path = f"{shared_dir(spark)}/lavra/{name}-{uuid.uuid4().hex}"
+    if not getattr(own_folder, "_clears", False):
+        own_folder._clears = True
+        atexit.register(_clear_at_exit, spark)
+    _STAGED.append(path)
+    return path
+
+
 def staged(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -79,13 +89,9 @@ def staged(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame
     What is still there when the process ends is deleted then; :func:`unstage` does it at once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lavra/{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     if partitions:
         df = df.coalesce(partitions)
-    if not _STAGED and not getattr(staged, "_clears", False):
-        staged._clears = True
-        atexit.register(_clear_at_exit, spark)
-    _STAGED.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lv_path = path

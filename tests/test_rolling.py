@@ -69,3 +69,38 @@ def test_silent_days(spark):
     rows = [(1, "A", datetime(2025, 1, 1), 1, None, None, None), (2, "A", datetime(2025, 1, 5), 0, None, None, None), (3, "A", datetime(2025, 3, 1), 0, None, None, None)]
     _, state = run(spark, rows, 1)
     assert sorted(r.day.day for r in rolling.silent_after_flag(state).collect()) == [2, 3, 4]
+
+
+def test_two_far_corrections_rewrite_only_what_they_reach(spark, tmp_path):
+    rows = [(i, e, datetime(2025, 1, 1) + timedelta(days=i), 1, None, None, None) for i in range(365) for e in "AB"]
+    daily = rolling.daily_amounts(spark.createDataFrame(rows, SCHEMA), F.col("entity"), F.col("ts"), F.col("flag"))
+    late = daily.where((F.col("entity") == "A") & F.col("day").isin(date(2025, 1, 5), date(2025, 12, 31)))
+    want = {date(2025, 1, 5) + timedelta(k) for k in range(30)} | {date(2025, 12, 31)}
+    v1 = rolling.advance(rolling.empty_state(daily), daily, 1)
+    v2 = rolling.advance(v1, late, 2).collect()
+    assert {(r.entity, r.day) for r in v2 if r.version == 2} == {("A", d) for d in want} and len(v2) == 730
+    # the same through the store, which writes the parts that hold those days and no other
+    store = rolling.RollingStore(spark, f"{tmp_path}/state")
+    assert store.advance(daily) == 1
+    store = rolling.RollingStore(spark, f"{tmp_path}/state")  # another run
+    assert store.advance(late) == 2
+    assert sorted(store.load(daily).collect()) == sorted(v2)
+    written = {p for p, v in store.parts.items() if v == 2}
+    assert written == {(d - date(1970, 1, 1)).days // 8 for d in want} and len(store.parts) == 46
+    store.forget()
+    assert sorted(rolling.RollingStore(spark, f"{tmp_path}/state").load(daily).collect()) == sorted(v2)
+
+
+def test_a_version_broken_off_is_made_again(spark, tmp_path):
+    rows = [(i, "A", datetime(2025, 1, 1 + i), 1, None, None, None) for i in range(20)]
+    daily = rolling.daily_amounts(spark.createDataFrame(rows, SCHEMA), F.col("entity"), F.col("ts"), F.col("flag"))
+    store = rolling.RollingStore(spark, f"{tmp_path}/state")
+    store.advance(daily.where("day < '2025-01-11'"))
+    (tmp_path / "state/data/written=2/part=1").mkdir(parents=True)  # left by a run that died
+    store = rolling.RollingStore(spark, f"{tmp_path}/state")
+    assert store.version == 1 and store.advance(daily.where("day >= '2025-01-11'")) == 2
+    assert {(r.entity, r.day): (r.n_rows, r.amount, r.rows_7, r.total_7, r.rows_30, r.total_30) for r in store.load(daily).collect()} == brute(rows)
+    with pytest.raises(RuntimeError, match="another run"):
+        other = rolling.RollingStore(spark, f"{tmp_path}/state")
+        other.version = 1
+        other.advance(daily.where("false"))
