@@ -5,9 +5,14 @@ polynomial hashes; no canonical string is made. Rows of equal hash are compared
 pointers that skip and fold as they go; rows that turn out different form groups of their own until none is left, so a
 collision costs a round but never an error.
 
-The hash of a segment is ``sum(fold[b_i] * B**i)`` over its kept bytes, modulo two primes. A batch is hashed at once: one
-running sum over the whole buffer with exponents that count on through it, a segment's share divided by the power at
-its start. Text beyond ASCII takes the same sums byte by byte from each folded letter's UTF-8 form.
+The hash of a segment is ``sum(fold[c_i] * B**i)`` over its kept characters, modulo two primes. A batch is hashed in
+stretches of ``STRETCH`` characters: a running sum with exponents that start anew in each, a segment's share divided by
+the power at its start, and segments that cross a border put together from their shares. So the tables of powers never
+grow. ASCII text is taken as its bytes, other text as its code points through a table of the same kind; both give
+an ASCII letter the same value.
+
+Records are shuffled by what has a fixed width only. Hashes that occur once, nearly all, are never joined: those that
+repeat set bits in a table of at most ``WORDS`` words, and rows whose bit isn't set go no further than their scan.
 
 Nulls: a record with a null key part or without all its fields is no copy of anything (but keeps its row in counts).
 Empty values equal empty values. Repeated rows are copies if their ids differ. Empty input gives an empty result.
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lavra.session import staged
+from lavra.session import staged, unstage
 
 #: Two primes below 2**31 and a base for each; products of two residues fit into 64 bits.
 PRIMES = (2_147_483_629, 2_147_483_587)
@@ -51,22 +56,42 @@ def fold_char(ch: str) -> str:
     return low if len(low) == 1 else ch
 
 
-class _Powers:
-    """Powers of the bases and of their inverses, grown by doubling."""
+STRETCH = 1 << 16
+
+
+def _powers(base: int, p: int) -> np.ndarray:
+    """base**0 to base**STRETCH modulo p, by doubling."""
+    t = np.ones(1, np.uint64)
+    while len(t) <= STRETCH:
+        t = np.concatenate([t, t * np.uint64(pow(base, len(t), p)) % np.uint64(p)])
+    return t[: STRETCH + 1]
+
+
+_UP = [_powers(b, p) for b, p in zip(BASES, PRIMES)]
+_DOWN = [_powers(pow(b, -1, p), p) for b, p in zip(BASES, PRIMES)]
+
+
+class _CodeFold:
+    """The folded code point of every code point (0: skipped), filled in as they are met."""
+
+    UNKNOWN = np.uint32(0xFFFFFFFF)
 
     def __init__(self) -> None:
-        self.up = [np.ones(1, np.uint64) for _ in PRIMES]
-        self.down = [np.ones(1, np.uint64) for _ in PRIMES]
+        self.table: np.ndarray | None = None
 
-    def to(self, n: int) -> None:
-        while len(self.up[0]) <= n:
-            for table, bases in ((self.up, BASES), (self.down, [pow(b, -1, p) for b, p in zip(BASES, PRIMES)])):
-                for k, (b, p) in enumerate(zip(bases, PRIMES)):
-                    t = table[k]
-                    table[k] = np.concatenate([t, t * np.uint64(pow(b, len(t), p)) % np.uint64(p)])
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            self.table = np.full(0x110000, self.UNKNOWN, np.uint32)
+        out = self.table[codes]
+        new = out == self.UNKNOWN
+        if new.any():
+            for c in np.unique(codes[new]).tolist():
+                self.table[c] = ord(fold_char(chr(c)) or "\0")
+            out = self.table[codes]
+        return out.astype(np.uint64)
 
 
-_POWERS = _Powers()
+_fold_codes = _CodeFold()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,30 +102,56 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def fold_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of every segment [start, end) of the byte buffer; segments hold ASCII only."""
-    kept = FOLD[data]
-    count = np.concatenate([[0], np.cumsum(kept > 0)])
-    _POWERS.to(int(count[-1]))
-    out = np.zeros(len(starts), np.uint64)
-    for k, p in enumerate(PRIMES):
-        p = np.uint64(p)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kept * _POWERS.up[k][count[1:]] % p, dtype=np.uint64)])
-        share = (sums[ends] - sums[starts]) % p * _POWERS.down[k][count[starts]] % p
-        out = (out << np.uint64(31)) | share
-    return out
+    """The hash of every segment [start, end) of ``data``: bytes of ASCII text, or code points (32 bits)."""
+    n = len(starts)
+    sums, seen = np.zeros((len(PRIMES), n), np.uint64), np.zeros(n, np.int64)
+    order = np.argsort(starts, kind="stable")
+    first, open_ones = 0, np.zeros(0, np.int64)  # segments begun in an earlier stretch that go on
+    for low in range(0, len(data), STRETCH):
+        high = min(low + STRETCH, len(data))
+        last = first + int(np.searchsorted(starts[order[first:]], high))
+        here = np.concatenate([open_ones, order[first:last]])
+        first, open_ones = last, here[ends[here] > high]
+        if not len(here):
+            continue
+        kept = FOLD[data[low:high]] if data.dtype == np.uint8 else _fold_codes(data[low:high])
+        count = np.concatenate([[0], np.cumsum(kept > 0)])
+        a, b = np.maximum(starts[here], low) - low, np.maximum(np.minimum(ends[here], high), starts[here].clip(low)) - low
+        going_on = np.flatnonzero(seen[here])
+        for k, p in enumerate(PRIMES):
+            p = np.uint64(p)
+            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kept * _UP[k][count[1:]] % p, dtype=np.uint64)])
+            share = (run[b] - run[a]) % p * _DOWN[k][count[a]] % p
+            for i in going_on:
+                share[i] = share[i] * np.uint64(pow(BASES[k], int(seen[here[i]]), int(p))) % p
+            sums[k, here] = (sums[k, here] + share) % p
+        seen[here] += count[b] - count[a]
+    return sums[0] << np.uint64(31) | sums[1]
 
 
 def fold_hash(text: str) -> int:
-    """The same hash of one text of any characters, letter by letter."""
+    """The same hash of one text, letter by letter."""
     sums, ups = [0, 0], [1, 1]
     for ch in text:
-        for b in fold_char(ch).encode():
+        if low := fold_char(ch):
             for k, p in enumerate(PRIMES):
                 ups[k] = ups[k] * BASES[k] % p
-                sums[k] = (sums[k] + b * ups[k]) % p
+                sums[k] = (sums[k] + ord(low) * ups[k]) % p
     return sums[0] << 31 | sums[1]
 
 
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts one after the other, and where each starts."""
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), at
+
+
+def _in_chunks(rows: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Consecutive pieces of ``rows`` of about a million characters, or one longer text."""
+    piece = np.cumsum(sizes) // 1_000_000
+    yield from np.split(rows, np.flatnonzero(np.diff(piece)) + 1)
+
+
 def same_folded(a: str, b: str, i: int = 0, i_end: int | None = None, j: int = 0, j_end: int | None = None) -> bool:
     """Whether two stretches are equal in what counts: two pointers, each skipping what doesn't."""
     i_end = len(a) if i_end is None else i_end
@@ -129,16 +180,22 @@ def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _beyond_ascii(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    high = np.concatenate([[0], np.cumsum(raw > 127)])
-    return high[off[1:]] > high[off[:-1]]
+    """Which rows hold bytes beyond ASCII."""
+    out = np.zeros(len(off) - 1, bool)
+    filled = np.flatnonzero(off[1:] > off[:-1])
+    if len(filled):
+        out[filled] = np.maximum.reduceat(raw, off[filled]) > 127
+    return out
 
 
 def text_hashes(texts: pa.Array) -> np.ndarray:
     """The folded hash of every text; a null counts as empty."""
     raw, off = _buffer(texts)
     out = fold_hashes(raw, off[:-1], off[1:])
-    for i in np.flatnonzero(_beyond_ascii(raw, off)):
-        out[i] = fold_hash(texts[int(i)].as_py())
+    high = np.flatnonzero(_beyond_ascii(raw, off))
+    for rows in _in_chunks(high, off[high + 1] - off[high]) if len(high) else ():
+        codes, at = _codes(texts.take(pa.array(rows)).to_pylist())
+        out[rows] = fold_hashes(codes, at[:-1], at[1:])
     return out
 
 
@@ -193,7 +250,7 @@ class Fields:
         high = _beyond_ascii(raw, off)
         n, w = len(records), len(self.names)
         starts, ends = np.zeros((n, w), np.int64), np.zeros((n, w), np.int64)
-        whole, minus, slow = np.zeros(n, bool), np.zeros((n, w), np.uint64), {}
+        whole, minus, beyond = np.zeros(n, bool), np.zeros((n, w), np.uint64), []
         for i, record in enumerate(records.to_pylist()):
             spans = self.spans(record) if record is not None else None
             if spans is None:
@@ -202,14 +259,19 @@ class Fields:
             for f, signed in enumerate(self.signed):
                 if signed:
                     minus[i, f] = self.negative(record, *spans[f])
+            base = 0 if high[i] else off[i]
             if high[i]:
-                slow[i] = [fold_hash(record[s:e]) for s, e in spans]
-            else:
-                for f, (s, e) in enumerate(spans):
-                    starts[i, f], ends[i, f] = off[i] + s, off[i] + e
-        each = fold_hashes(raw, starts.ravel(), ends.ravel()).reshape(n, w)
-        for i, values in slow.items():
-            each[i] = values
+                beyond.append((i, record))
+            for f, (s, e) in enumerate(spans):
+                starts[i, f], ends[i, f] = base + s, base + e
+        slow = np.array([i for i, _ in beyond], np.int64)
+        plain = np.ones(n, bool)
+        plain[slow] = False
+        each = np.zeros((n, w), np.uint64)
+        each[plain] = fold_hashes(raw, starts[plain].ravel(), ends[plain].ravel()).reshape(-1, w)
+        for part in _in_chunks(np.arange(len(slow)), off[slow + 1] - off[slow]) if len(slow) else ():
+            codes, at = _codes([beyond[i][1] for i in part])
+            each[slow[part]] = fold_hashes(codes, (starts[slow[part]] + at[:-1, None]).ravel(), (ends[slow[part]] + at[:-1, None]).ravel()).reshape(-1, w)
         salts = _mix(np.arange(1, w + 1, dtype=np.uint64))
         return _mix(each * np.uint64(2) + minus + salts).sum(axis=1, dtype=np.uint64), whole
 
@@ -259,29 +321,48 @@ def _verified(pairs: DataFrame, keys: int, same: Callable[[str, str], bool]) ->
     return pairs.mapInArrow(verify, schema)
 
 
+WORDS = 1 << 19
+
+
+def _repeating(rest: DataFrame, groups: DataFrame, n: int) -> DataFrame:
+    """The rows of ``rest`` whose hash may be among ``groups`` (``n`` of them): all that are, and few others.
+
+    What is broadcast has at most ``WORDS`` rows of 64 bits, however many groups there are.
+    """
+    words = 1 << min(WORDS.bit_length() - 1, max(6, (n * 16 // 64).bit_length()))
+    word, bit = F.pmod(F.shiftright("h", 6), F.lit(words)).alias("word"), F.col("h").bitwiseAND(63).cast("int")
+    table = groups.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    hit = F.getbit("bits", bit) == 1
+    return rest.withColumn("word", word).join(F.broadcast(table), "word").where(hit).select(*rest.columns)
+
+
 def copies(prints: DataFrame, same: Callable[[str, str], bool], hot_share: float = 0.001, salts: int = 32) -> DataFrame:
     """(lead, id): every row that is a copy, with the smallest id of its group.
 
-    ``prints`` has id, h, optional whole-number keys k0, k1, ... and text. Groups of a hash are reduced to their smallest
-    row and size before they are shuffled; hashes that hold at least ``hot_share`` of the rows (at most 1 / hot_share
-    of them) are joined to their rows in ``salts`` pieces, so the largest group doesn't end in one task.
+    ``prints`` has id, h, optional whole-number keys k0, k1, ... and text. Hashes are counted by themselves, with their
+    smallest id; only rows of a hash that repeats are shuffled with their text. Hashes that hold at least ``hot_share`` of
+    the rows (at most 1 / hot_share of them) are joined to their rows in ``salts`` pieces, so the largest group doesn't
+    end in one task.
     """
     keys = [c for c in prints.columns if c not in ("id", "h", "text")]
     payload = [*keys, "text"]
-    rest = staged(prints, "prints")
-    out = None
+    rest = first = staged(prints, "prints")
+    out, used = None, [first]
     while True:
-        lead = F.min(F.struct("id", *payload)).alias("lead")
-        groups = rest.groupBy("h").agg(lead, F.count("*").alias("n")).where("n > 1")
-        groups = staged(groups.select("h", "n", F.col("lead.id").alias("lead"), *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in payload]), "print-groups")
+        groups = staged(rest.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1"), "print-groups")
+        used.append(groups)
+        rows = _repeating(rest, groups, groups.count())
         least = max(1000, int(rest.count() * hot_share))
+        leads = rows.join(groups.withColumnRenamed("lead", "id"), ["h", "id"]).dropDuplicates(["h", "id"])
+        leads = leads.select("h", "n", F.col("id").alias("lead"), *[F.col(c).alias(f"lead_{c}") for c in payload])
         hot = groups.where(F.col("n") >= least).select("h", F.lit(salts).alias("salts"))
-        spread = rest.join(F.broadcast(hot), "h", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)))).drop("salts")
-        leads = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") >= least, F.lit(salts - 1)).otherwise(0).cast("long"))))
+        spread = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)))).drop("salts")
+        leads = leads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") >= least, F.lit(salts - 1)).otherwise(0).cast("long"))))
         pairs = spread.join(leads, ["h", "salt"]).where("id <> lead")
         checked = staged(_verified(pairs, len(keys), same), "print-pairs")
         found = checked.where("ok").select("lead", "id")
         out = found if out is None else out.unionByName(found)
         rest = checked.where("NOT ok").select("id", "h", *payload)
         if rest.isEmpty():
+            unstage(*used)
             return out

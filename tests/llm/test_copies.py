@@ -93,3 +93,33 @@ def test_powers_survive_long_buffers():
     texts = ["ab" * 5000, "x", "ab" * 5000 + "."]
     h = copies.text_hashes(pa.array(texts))
     assert h[0] == h[2] and h.dtype == np.uint64 and int(h[0]) == copies.fold_hash(texts[0])
+
+
+def test_long_texts_over_many_stretches():
+    rng = random.Random(3)
+    make = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    texts = ["ab", make(200_001, "aB1 .-"), "", make(150_000, "aé –ß"), "x" * copies.STRETCH, "y" * (copies.STRETCH + 1), None, make(70_000, "日é,a"), "-" * 140_000]
+    got = copies.text_hashes(pa.array(texts))
+    assert [int(x) for x in got] == [copies.fold_hash(t or "") for t in texts]
+    record = ONE.replace("OP_001", make(100_000, "ab -")), ONE.replace("OP_001", make(100_000, "aé –"))
+    h, whole = FIELDS.hashes(pa.array([ONE, *record, *SAME, record[0].upper().replace("-", " - "), record[1].replace("–", " –")]))
+    assert whole.all() and h[0] == h[3] == h[4] == h[5] and len({int(x) for x in h[:3]}) == 3
+    assert h[2] == h[7] and h[1] != h[6] or "VALOR" in record[0].upper()
+
+
+def test_a_large_batch_needs_bounded_memory():
+    import resource
+
+    copies.text_hashes(pa.array(["warm"]))
+    texts = pa.array(["Abc-1 " * 1000] * 4000 + ["é–Abc " * 1000] * 4000)  # 24 + 32 million bytes
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    copies.text_hashes(texts)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000  # KB
+
+
+def test_only_repeating_hashes_go_on(spark):
+    rest = spark.range(20_000).select("id", F.xxhash64(F.col("id") % 19_000).alias("h"), F.lit("t").alias("text"))
+    groups = rest.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
+    rows = copies._repeating(rest, groups, 1000)
+    ids = {r.id for r in rows.collect()}
+    assert {i for i in range(20_000) if i < 1000 or i >= 19_000} <= ids and len(ids) < 4_500
