@@ -4,8 +4,10 @@ Every document has a membership vector over the target sources. Where its writte
 Where it isn't (null, unknown), a classifier fitted on all labelled documents (multinomial naive Bayes over hashed words;
 its table of counts has at most sources times ``BUCKETS`` cells) predicts the posterior. With tokens t, memberships P and
 rates r, source k gets S_k = sum(t * r * P_k) tokens; the rates minimise sum((S_k - T_k)^2 / A_k) over 0 <= r <= cap by
-projected gradient steps. A step needs the k sums only: certain documents of a source share their rate, so they are one
-group each, however many there are; those of the others are summed on the cluster at every step.
+projected gradient steps from one rate for all. A step needs the k sums only: certain documents of a source share their
+rate, so they are one group each, however many there are; those of the others are summed on the cluster at every step,
+from rates that are stored every ``STORED`` steps. The steps end when the sums meet their targets or the caps let them
+come no closer; a fit that does neither raises an error. What is left of the distance is given with the mixture.
 
 The unit is the distinct text: copies, under any id or source, share one cap. A text's source is that of its smallest
 id among those with a target source. T_k is the target share of ``total``; left out, the total is the largest at which
@@ -38,11 +40,12 @@ from pyspark.sql.window import Window
 
 from lavra.functions.text import strip_outer
 from lavra.llm.tokens import counter
-from lavra.session import staged
+from lavra.session import staged, unstage
 
 BUCKETS = 8192
 ORDER_BUCKETS = 4096
 HELD_WORDS = 200_000
+STORED = 8
 _WORD = re.compile(r"[^\W\d_]+|\d")
 
 
@@ -143,11 +146,17 @@ def units(df: DataFrame, wanted: list[tuple[str, float, int]], id_col: str, text
     return measured.groupBy("key").agg(first).select("u.doc_id", "u.src", "u.tokens", "u.post")
 
 
+class Steps(list):
+    """Gradient steps (vectors over the sources), with the largest distance from a target left, in shares of all tokens."""
+
+    residual: float = 0.0
+
+
 def fit_rates(
     groups: list[tuple[np.ndarray, float, float]], goal: np.ndarray, available: np.ndarray, start: np.ndarray, others: Callable[[list[np.ndarray]], np.ndarray] | None = None,
-    steps: int = 40, tolerance: float = 1e-5,
-) -> list[np.ndarray]:
-    """Gradient steps (vectors over the sources), until the sums stay put.
+    steps: int = 200, tolerance: float = 1e-5,
+) -> Steps:
+    """The gradient steps, until the sums stay put.
 
     ``groups`` are documents of one membership and cap, with their tokens; ``others`` gives the sums of all other
     documents after some steps, an aggregation on the cluster. The driver holds nothing but sums. A document's rate
@@ -156,33 +165,79 @@ def fit_rates(
     member = np.array([g[0] for g in groups]).reshape(len(groups), len(goal))
     cap, tokens = np.array([g[1] for g in groups]), np.array([g[2] for g in groups])
     r = np.clip(member @ start, 0, cap)
-    out: list[np.ndarray] = []
+    out, all_tokens, before = Steps(), max(goal.sum(), 1), np.inf
     scale = np.where(available > 0, available, 1.0)
-    for _ in range(steps):
-        got = member.T @ (tokens * r) + (0 if others is None else others(out))
-        if np.abs(got - goal).max(initial=0) <= tolerance * max(goal.sum(), 1):
-            break
-        out.append((got - goal) / scale)
+    for k in range(steps + 1):
+        off = member.T @ (tokens * r) + (0 if others is None else others(out)) - goal
+        out.residual = float(np.abs(off).max(initial=0) / all_tokens)
+        distance = float((off**2 / scale).sum())
+        if out.residual <= tolerance or distance >= before * (1 - 1e-6):
+            return out
+        if k == steps:
+            raise RuntimeError(f"the rates don't settle within {steps} steps; {out.residual:.6f} of all tokens is missing")
+        before = distance
+        out.append(off / scale)
         r = np.clip(r - member @ out[-1], 0, cap)
     return out
 
 
-def rates(member: Column, cap: Column, start: np.ndarray, steps: list[np.ndarray]) -> Column:
-    """The rate of a document: the same steps from the same start, projected onto [0, cap] each time."""
+def rates(member: Column, cap: Column, start: np.ndarray, steps: list[np.ndarray], stored: Column | None = None) -> Column:
+    """The rate of a document: the same steps from the same start (or a stored rate), projected onto [0, cap] each time."""
 
     def dot(v: np.ndarray) -> Column:
         return F.aggregate(F.zip_with(member, F.lit([float(x) for x in v]), lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
 
     zero = F.lit(0.0)
-    return reduce(lambda r, g: F.greatest(zero, F.least(cap, r - dot(g))), steps, F.greatest(zero, F.least(cap, dot(start))))
+    first = F.greatest(zero, F.least(cap, dot(start))) if stored is None else stored
+    return reduce(lambda r, g: F.greatest(zero, F.least(cap, r - dot(g))), steps, first)
+
+
+class _Loose:
+    """The texts whose source is no target, with the rates of some steps stored."""
+
+    def __init__(self, table: DataFrame, k: int, cap: float, start: np.ndarray) -> None:
+        self.table, self.k, self.cap, self.start, self.done = staged(table, "mix-loose"), k, F.lit(float(cap)), start, 0
+
+    def sums(self, of: Column) -> np.ndarray:
+        row = self.table.agg(*[F.sum(F.col("tokens") * of * F.get("post", F.lit(i))) for i in range(self.k)]).first()
+        return np.array([x or 0.0 for x in row])
+
+    def after(self, steps: list[np.ndarray]) -> np.ndarray:
+        rate = rates(F.col("post"), self.cap, self.start, steps[self.done :], F.col("rate") if self.done else None)
+        if len(steps) - self.done >= STORED:
+            last, self.table = self.table, staged(self.table.select("tokens", "post", rate.alias("rate")), "mix-loose")
+            self.done, rate = len(steps), F.col("rate")
+            unstage(last)
+        return self.sums(rate)
+
+
+def held_out_accuracy(df: DataFrame, sources: int, folds: int = 3) -> tuple[float, float]:
+    """How often the largest posterior of a labelled text (src, text) is its own source, from classifiers that were fitted
+    without it or its copies, and how often the most frequent source is."""
+    rows = df.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(folds)).cast("int"))
+    hit = n = 0
+    for k in range(folds):
+        posterior = fit_posterior(rows.where(F.col("fold") != k).select("src", "text"), sources)
+
+        def hits(batches: Iterator[pa.RecordBatch], posterior=posterior) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([int(np.argmax(posterior(t))) == s for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.bool_())], ["hit"])
+
+        row = rows.where(F.col("fold") == k).select("src", "text").mapInArrow(hits, "hit boolean").agg(F.count_if("hit"), F.count("*")).first()
+        hit, n = hit + row[0], n + row[1]
+    most = df.groupBy("src").count().agg(F.max("count")).first()[0] or 0
+    return (hit / n, most / n) if n else (0.0, 0.0)
 
 
 @dataclass
 class Mixture:
-    """The used texts (doc_id, source, tokens, rate, copies) and the shares reached."""
+    """The used texts (doc_id, source, tokens, rate, copies), the shares reached, how many steps were taken and how far the
+    fitted sums stay from their targets, in shares of all tokens."""
 
     used: DataFrame
     shares: DataFrame
+    steps: int = 0
+    residual: float = 0.0
 
 
 def mix(
@@ -203,21 +258,16 @@ def mix(
     cap = F.when(F.col("src") >= 0, F.get(F.lit([float(c) for c in caps]), F.col("src"))).otherwise(F.lit(float(loose_cap)))
 
     certain = {r["src"]: (float(r["t"]), int(r["n"])) for r in table.where("src >= 0").groupBy("src").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()}
-    loose = staged(table.where(F.col("src") < 0 if loose_cap > 0 else F.lit(False)).select("tokens", "post"), "mix-loose")
     groups = [(np.eye(k)[i], caps[i], t) for i, (t, _) in certain.items()]
-
-    def loose_sums(of: Column) -> np.ndarray:
-        row = loose.agg(*[F.sum(F.col("tokens") * of * F.get("post", F.lit(i))) for i in range(k)]).first()
-        return np.array([x or 0.0 for x in row])
-
-    available = sum((g[0] * g[2] for g in groups), np.zeros(k)) + loose_sums(F.lit(1.0))
+    loose = _Loose(table.where(F.col("src") < 0 if loose_cap > 0 else F.lit(False)).select("tokens", "post"), k, loose_cap, np.zeros(k))
+    available = sum((g[0] * g[2] for g in groups), np.zeros(k)) + loose.sums(F.lit(1.0))
     sure = np.array([certain.get(i, (0.0, 0))[0] for i in range(k)])
     reachable = sure > 0
     if total is None:
         total = float(np.min((sure * caps)[reachable & (weight > 0)] / weight[reachable & (weight > 0)])) if (reachable & (weight > 0)).any() else 0.0
     goal = np.where(reachable, weight * total, 0.0)
-    start = np.minimum(np.divide(goal, available, out=np.zeros(k), where=available > 0), caps)
-    steps = fit_rates(groups, goal, available, start, lambda done: loose_sums(rates(F.col("post"), F.lit(float(loose_cap)), start, done)))
+    start = loose.start = np.full(k, min(float(caps.max()), goal.sum() / max(available.sum(), 1.0)))  # one rate for all
+    steps = fit_rates(groups, goal, available, start, loose.after)
 
     rated = table.withColumn("rate", rates(member, cap, start, steps)).withColumn("member", member)
     rated = rated.withColumn("dom", F.array_position("member", F.array_max("member")).cast("int") - 1)
@@ -249,4 +299,5 @@ def mix(
     if -1 in hard:
         t, m = hard[-1]
         rows.append((None, 0.0, int(np.ceil(loose_cap)), 0, t, t / every, 0.0, 0.0, m))
-    return Mixture(used, spark.createDataFrame(rows, share_type))
+    unstage(table, loose.table, rated)
+    return Mixture(used, spark.createDataFrame(rows, share_type), len(steps), steps.residual)

@@ -30,6 +30,7 @@ def mixed(spark):
     rows = docs()
     targets = spark.createDataFrame(TARGETS, "source string, peso_alvo double, max_repeticoes int")
     m = mixture.mix(spark, spark.createDataFrame(rows, DOC).repartition(3), targets)
+    assert m.steps > 0 and m.residual <= 1e-5
     return rows, m.used.collect(), {r.source: r for r in m.shares.collect()}
 
 
@@ -69,6 +70,32 @@ def test_rates_equal_projected_least_squares():
     assert np.abs(member.T @ (tok * r) - goal).max() <= 1e-3 * goal.sum() and (r >= 0).all() and (r <= cap + 1e-12).all()
 
 
+def test_uniform_start_stored_rates_and_what_is_out_of_reach(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    member = rng.dirichlet(np.ones(3) * 0.5, 60)
+    tok, available = rng.uniform(1, 50, 60), None
+    available = member.T @ tok
+    goal = np.array([0.5, 0.3, 0.2]) * tok.sum() * 0.4
+    start = np.full(3, 0.4)
+    df = spark.createDataFrame([(float(t), [float(x) for x in m]) for t, m in zip(tok, member)], "tokens double, post array<double>")
+    monkeypatch.setattr(mixture, "STORED", 2)
+    loose = mixture._Loose(df, 3, 1.0, start)
+    steps = mixture.fit_rates([], goal, available, start, loose.after)
+    want = mixture.fit_rates(list(zip(member, np.ones(60), tok)), goal, available, start)
+    assert len(steps) == len(want) > 3 and loose.done >= 2 and np.allclose(steps, want) and steps.residual <= 1e-5
+    with pytest.raises(RuntimeError, match="settle"):
+        mixture.fit_rates(list(zip(member, np.ones(60), tok)), goal, available, start, steps=1)
+    # beyond the caps the steps end at what can be reached, and the distance is told
+    far = mixture.fit_rates([(np.array([1.0, 0]), 1.0, 10.0), (np.array([0, 1.0]), 1.0, 10.0)], np.array([20.0, 5.0]), np.array([10.0, 10.0]), np.full(2, 0.5))
+    assert 0.39 < far.residual < 0.41
+
+
+def test_held_out_accuracy(spark):
+    rows = [(i % 3, f"{WORDS['abc'[i % 3]]} {i}") for i in range(120)] + [(0, "bomba pressão 0")] * 20
+    hit, most = mixture.held_out_accuracy(spark.createDataFrame(rows, "src int, text string"), 3)
+    assert hit > 0.95 and abs(most - 60 / 140) < 1e-9
+
+
 def test_posterior_on_held_out_texts(spark):
     rows = [r for r in docs(600) if r[1] and r[2] and r[2].strip().lower() in "abc" and r[0] < 1000]
     index = {"a": 0, "b": 1, "c": 2}
