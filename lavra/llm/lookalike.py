@@ -9,6 +9,10 @@ writing systems they belong to). The sets are intersected across the token:
   the text is, and stays as it is if another token shows that the text really uses its script.
 * otherwise the token is consistent and stays.
 
+A token that mixes scripts is a finding in any case, even where no spelling is known (it then stays), with two exceptions:
+scripts that are written without blanks beside Latin words (Chinese, Japanese, Korean, Thai, Arabic, Indic ones), and
+Greek letters that look like no Latin one, which are signs (``kΩ``, ``ΔT``, ``μm``).
+
 Before that, invisible characters go, blanks of any kind become U+0020, width and font variants and ligatures become
 their plain letters, and accents are composed. Signs (degree, superscripts, fractions, a Greek letter standing alone)
 stay. White space is then made single and outer blanks go.
@@ -31,27 +35,34 @@ from pyspark.sql import functions as F
 
 # Letters of other scripts and the basic Latin letters they look like.
 CYRILLIC = dict(zip("АВЕЗІЈКМНОРСЅТУХЬҮԌԚԜ" "аеѕіјорсухһԁԛԝѵү", "ABE3IJKMHOPCSTYXbYGQW" "aesijopcyxhdqwvy"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "αικνορυϲϳ", "ABEZHIKMNOPTYX" "aikvopucj"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "αικνορυϲϳ" "τησ", "ABEZHIKMNOPTYX" "aikvopucj" "tno"))
 ARMENIAN = dict(zip("ՍՏՕԼ" "հոսօցզ", "USOL" "hnuogq"))
 CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEHJKLMPRSTVWZ"))
-LATIN_ODD = dict(zip("ıɑɡɩ", "iagi"))
+COPTIC = dict(zip("ⲀⲂⲈⲌⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ" "ⲓⲕⲟⲣⲥⲩⲭ", "ABEZHIKMNOPCTYX" "ikopcyx"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+CANADIAN = dict(zip("ᗅᗷᑕᗞᖴᕼᒍᒪᗰᑭᖇᔕᑌᐯᗯ᙭", "ABCDFHJLMPRSUVWX"))
+DESERET = dict(zip("𐐄𐐕𐐛𐐠𐐬𐐽𐑄", "OCLSocl"))
+LATIN_ODD = dict(zip("ıɑɡɩ" "ᴀʙᴄᴅᴇɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ", "iagi" "abcdeghijklmnoprstuvwyz"))
 # Small letters whose capitals look like Latin ones; within a token of Latin letters they stand for them.
 SMALL_CAPITALS = dict(zip("вкмнт", "bkmht"))
 # Punctuation that looks like basic Latin punctuation.
 PUNCTUATION = dict(zip("‐‑−˗⁃∕⁄∶꞉", "-----//::"))
 
-TO_LATIN = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | LATIN_ODD
-_OF_SCRIPT = {"Cyrl": CYRILLIC, "Grek": GREEK, "Armn": ARMENIAN, "Cher": CHEROKEE}
+TO_LATIN = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | COPTIC | LISU | CANADIAN | DESERET | LATIN_ODD
+_OF_SCRIPT = {"Cyrl": CYRILLIC, "Grek": GREEK, "Armn": ARMENIAN, "Cher": CHEROKEE, "Copt": COPTIC, "Lisu": LISU, "Cans": CANADIAN, "Dsrt": DESERET}
 #: For each script its letter that looks like a Latin one.
 FROM_LATIN = {s: {v: k for k, v in reversed(t.items())} for s, t in _OF_SCRIPT.items()}
 
-_LATIN = frozenset({"Latn"})
+_LATIN, _GREEK = frozenset({"Latn"}), frozenset({"Grek"})
 _SCRIPTS = {
     "Latn": "Latin", "Grek": "Greek", "Cyrl": "Cyrillic", "Armn": "Armenian", "Cher": "Cherokee", "Hani": "Han", "Hira": "Hiragana", "Kana": "Katakana", "Hang": "Hangul", "Bopo": "Bopomofo",
-    "Arab": "Arabic", "Hebr": "Hebrew", "Deva": "Devanagari", "Thai": "Thai",
+    "Arab": "Arabic", "Hebr": "Hebrew", "Deva": "Devanagari", "Thai": "Thai", "Copt": "Coptic", "Lisu": "Lisu", "Cans": "Canadian_Aboriginal", "Dsrt": "Deseret",
+    "Beng": "Bengali", "Taml": "Tamil", "Telu": "Telugu", "Gujr": "Gujarati", "Guru": "Gurmukhi", "Knda": "Kannada", "Mlym": "Malayalam", "Laoo": "Lao", "Khmr": "Khmer", "Mymr": "Myanmar",
 }
 _IS_SCRIPT = {code: regex.compile(rf"\p{{Script_Extensions={name}}}") for code, name in _SCRIPTS.items()}
 _ANY = regex.compile(r"[\p{Script_Extensions=Common}\p{Script_Extensions=Inherited}]")
+#: Scripts whose words stand beside Latin ones without a blank.
+_BESIDE_LATIN = {"Hani", "Hira", "Kana", "Hang", "Bopo", "Thai", "Laoo", "Khmr", "Mymr", "Arab", "Hebr", "Deva", "Beng", "Taml", "Telu", "Gujr", "Guru", "Knda", "Mlym"}
 _WIDER = {"Hani": {"Hanb", "Jpan", "Kore"}, "Hira": {"Jpan"}, "Kana": {"Jpan"}, "Hang": {"Kore"}, "Bopo": {"Hanb"}}
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 _INVISIBLE = regex.compile(r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠎ㅤ︀-️ﾠ\U000e0000-\U000e0fff]")
@@ -97,6 +108,18 @@ def plain_char(ch: str) -> str:
     return ch
 
 
+@lru_cache(maxsize=65_536)
+def mixed(token: str) -> bool:
+    """Whether the token's letters have no script in common and are neither Latin words beside another script's nor signs."""
+    have = token_scripts(token)
+    if have is None or have:
+        return False
+    foreign = [(ch, s) for ch in token if (s := scripts(ch)) is not None and "Latn" not in s]
+    if all(s & _BESIDE_LATIN for _, s in foreign):
+        return False
+    return not all(s == _GREEK and ch not in TO_LATIN for ch, s in foreign)
+
+
 def _is_sign(token: str) -> bool:
     return len(token) == 1 and token.islower() and scripts(token) == frozenset({"Grek"})
 
@@ -156,7 +179,7 @@ def _analysed(text: str) -> tuple[str, bool]:
     if not latin:  # tokens that mix scripts but can be Latin show a Latin text as well
         latin = any(not token_scripts(t) and token_scripts(t) is not None and all(ch in TO_LATIN or scripts(ch) is None or "Latn" in scripts(ch) for ch in t) for t in tokens)
     spelled = _TOKEN.sub(lambda m: _spelled(m.group(), shown, latin), parts)
-    found = odd or any(a != b and (a in TO_LATIN or a in SMALL_CAPITALS) for a, b in zip(parts, spelled))
+    found = odd or any(map(mixed, tokens)) or any(a != b and (a in TO_LATIN or a in SMALL_CAPITALS) for a, b in zip(parts, spelled))
     return unicodedata.normalize("NFC", " ".join(spelled.split())), found
 
 

@@ -63,3 +63,15 @@ def test_nulls_empty_long_and_rows(spark):
     assert got == [(2, "", False), (3, "", False), (4, "Plain", True), (4, "Plain", True), (5, "x", True)]
     assert [(r.lv_form, r.lv_odd) for r in out if r.id == 1] == [(None, False)]
     assert L.normalized(spark.createDataFrame([], "id long, t string"), "t", "id").count() == 0
+
+
+@pytest.mark.parametrize("text, form", [("ꓔemp", "Temp"), ("ᖴreio", "Freio"), ("τemp", "temp"), ("Ⲟil", "Oil"), ("ηivel", "nivel"), ("ᴛemp alta", "temp alta"), ("ᏴOMBA", "BOMBA")])
+def test_letters_of_other_scripts(text, form):
+    assert L.analysed(text) == (form, True)
+
+
+def test_mixed_scripts_are_found_without_a_known_spelling():
+    for text in ("temⴼ baixa", "𐊠BOMBA", "filtroЖ", "óleoδα τ"):
+        assert L.analysed(text)[1] and text[:3] in L.consistent(text) or text.startswith("𐊠")
+    for text in ("5 kΩ", "ΔT alto", "3 μm", "CPUエラー", "A駆動", "ปั๊มABC", "τ", "σ eixo", "x²"):
+        assert L.analysed(text) == (text, False)
