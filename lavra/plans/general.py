@@ -50,7 +50,9 @@ r AS (
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     tel = read_table(spark, folder, "tel")
-    return skew.chunked_counts(tel.select(plain_key("tag").alias("tag"), "id_alarme"), ["tag", "id_alarme"])
+    counts = skew.chunked_counts(tel.select(plain_key("tag").alias("tag"), "id_alarme"), ["tag", "id_alarme"])
+    broken = F.raise_error(F.lit("a row number of a key is missing or occurs twice; the table changed while it was read")).cast("long")
+    return counts.withColumn("n", F.when(F.col("whole"), F.col("n")).otherwise(broken))
 
 
 def p2_counts(spark: SparkSession, folder: str) -> DataFrame:

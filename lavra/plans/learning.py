@@ -110,7 +110,7 @@ def time_ordered_search(spark, d):
 def stream_tumbling(spark, d):
     """Tumbling windows over the event stream (C4 as a stream)."""
     s = streaming.windowed(streaming.read_stream(spark, d, "tel"), "data_evento", ["tag"], "8 hours", None, {"n": F.count("*")})
-    out = streaming.run_available(s, "tumbling", "complete")
+    out = streaming.run_available(s, "tumbling", "update", keys=["tag", "start", "end"])
     return out.select("tag", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
@@ -118,7 +118,7 @@ def stream_tumbling(spark, d):
 def stream_sliding(spark, d):
     """24-hour windows every 8 hours over flagged events (C6 as a stream)."""
     s = streaming.windowed(streaming.read_stream(spark, d, "tel").where("is_dont_go = 1"), "data_evento", ["tag"], "24 hours", "8 hours", {"n": F.count("*")})
-    return streaming.run_available(s, "sliding", "complete").select("tag", F.col("end").cast("timestamp_ntz").alias("end"), "n")
+    return streaming.run_available(s, "sliding", "update", keys=["tag", "start", "end"]).select("tag", F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 @R.query("""
@@ -127,8 +127,8 @@ n AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 28800000000 THEN 1 ELSE 0 END
 SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM n GROUP BY user_id, s""")
 def stream_sessions(spark, d):
     """Session windows with a gap of 8 hours (C2 as a stream)."""
-    s = streaming.sessions(streaming.read_stream(spark, d, "events"), "ts", ["user_id"], "8 hours")
-    out = streaming.run_available(s, "sessions", "complete")
+    source = streaming.read_stream(spark, d, "events").select("user_id", "ts")
+    out = streaming.run_closed(source, "ts", "sessions", lambda s: streaming.sessions(s, "ts", ["user_id"], "8 hours"))
     return out.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
 
 

@@ -126,15 +126,20 @@ def topk_vocabulary(spark, d):
     return t.groupBy("id_alarme").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id_alarme").limit(25)
 
 
-@R.query(f"""WITH {_T}, v AS (SELECT id_alarme, row_number() OVER (ORDER BY count(*) DESC, id_alarme) - 1 AS k FROM t WHERE data_evento < TIMESTAMP '{_CUT}' GROUP BY 1 QUALIFY k < 8)
-SELECT tag, time_bucket(INTERVAL '8 hours', data_evento) AS bin, """ + ", ".join(f"count(*) FILTER (WHERE k = {i}) AS alarm_{i}" for i in range(8)) + " FROM t LEFT JOIN v USING (id_alarme) WHERE tag IS NOT NULL GROUP BY 1, 2")
+VOCABULARY = 200
+
+
+@R.query(f"""WITH {_T}, v AS (SELECT id_alarme, row_number() OVER (ORDER BY count(*) DESC, id_alarme) - 1 AS k FROM t WHERE data_evento < TIMESTAMP '{_CUT}' AND id_alarme IS NOT NULL GROUP BY 1 QUALIFY k < {VOCABULARY}),
+c AS (SELECT tag, time_bucket(INTERVAL '8 hours', data_evento) AS bin, k, count(*) AS n FROM t LEFT JOIN v USING (id_alarme) WHERE tag IS NOT NULL GROUP BY 1, 2, 3)
+SELECT tag, bin, """ + ", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE k = {i}), 0) AS BIGINT) AS alarm_{i}" for i in range(VOCABULARY)) + " FROM c GROUP BY 1, 2")
 def topk_vocab_pivot(spark, d):
-    """Counts by bin of the alarms of a training vocabulary."""
+    """Counts by bin of the 200 alarms of a training vocabulary (C9, A8); the limit is the feature. Counted long, then turned."""
     t = _tel(spark, d)
-    words = encoding.vocabulary(t, "id_alarme", 8, F.col("data_evento") < F.expr(f"timestamp_ntz'{_CUT}'"))
-    is_word = [F.col("id_alarme") == w for w in words] + [F.lit(False)] * (8 - len(words))
-    rows = t.where("tag IS NOT NULL").groupBy("tag", bucket_start("data_evento", BIN).alias("bin"))
-    return rows.agg(*[F.count_if(hit).alias(f"alarm_{i}") for i, hit in enumerate(is_word)])
+    words = encoding.vocabulary(t.where("id_alarme IS NOT NULL"), "id_alarme", VOCABULARY, F.col("data_evento") < F.expr(f"timestamp_ntz'{_CUT}'"))
+    place = F.create_map(*[F.lit(x) for i, w in enumerate(words) for x in (w, i)])[F.col("id_alarme")] if words else F.lit(None).cast("int")
+    long = t.where("tag IS NOT NULL").groupBy("tag", bucket_start("data_evento", BIN).alias("bin"), place.alias("k")).agg(F.count("*").alias("n"))
+    wide = long.groupBy("tag", "bin").pivot("k", list(range(VOCABULARY))).agg(F.sum("n"))
+    return wide.select("tag", "bin", *[F.coalesce(F.col(f"`{i}`"), F.lit(0)).alias(f"alarm_{i}") for i in range(VOCABULARY)])
 
 
 @R.query("SELECT sample_id, CASE WHEN tipo = 'Caminhao' THEN 1 ELSE 0 END AS tipo_0, CASE WHEN tipo = 'Escavadeira' THEN 1 ELSE 0 END AS tipo_1 FROM predictions")

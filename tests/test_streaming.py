@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lavra import streaming
 from lavra.operators import events
+from lavra.streaming import pipelines
 
 T0 = datetime(2025, 1, 1)
 SCHEMA = "id long, tag string, ts timestamp_ntz, v int"
@@ -48,3 +49,25 @@ def test_enrichment_keeps_unmatched_rows(spark, folder):
     s = streaming.enriched(streaming.read_stream(spark, folder, "t", 2), states, "tag", "ts", "a", "b", ["state"])
     got = {r.id: r.state for r in streaming.run_available(s.select("id", "state"), "enr").collect()}
     assert got == {1: "op", 2: "op", 3: None, 4: "op", 5: None, 6: None, 7: "op", 8: None, 9: None}
+
+
+def test_updates_give_what_complete_batches_give(spark, folder):
+    made = lambda: streaming.windowed(streaming.read_stream(spark, folder, "t", 1), "ts", ["tag"], "1 hour", "30 minutes", {"n": F.count("*"), "v": F.sum("v")})
+    got = streaming.run_available(made(), "upd", "update", keys=["tag", "start", "end"]).collect()
+    want = streaming.run_available(made(), "com", "complete").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 10
+
+
+def test_closed_sessions_equal_the_batch_operator(spark, folder):
+    source = streaming.read_stream(spark, folder, "t", 1)
+    out = streaming.run_closed(source, "ts", "closed", lambda s: streaming.sessions(s.where("tag IS NOT NULL OR ts > '9000-01-01'"), "ts", ["tag"], "10 minutes"))
+    want = events.sessions(spark.read.parquet(f"{folder}/t.parquet"), ["tag"], "ts", 600).collect()
+    assert sorted((r.tag, r.first, r.last, r.n) for r in out.collect()) == sorted((r.tag, r.start, r.end, r.n) for r in want)
+
+
+def test_a_batch_tried_again_replaces_itself(spark, tmp_path):
+    write = pipelines._sink(str(tmp_path), None)
+    for rows in (3, 5):  # the first try was broken off
+        write(spark.range(rows), 0)
+    write(spark.range(2), 1)
+    assert spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/out").count() == 7
