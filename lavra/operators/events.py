@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lavra.functions.stats import quantile
 from lavra.functions.time import millis
-from lavra.operators.chained import block_of, with_previous, with_running_sum
+from lavra.operators.chained import BLOCK_SECONDS, block_of, with_previous, with_running_sum
 
 
 def deduplicated(df: DataFrame, id_col: str, columns: Sequence[str], purge: Column | None = None) -> DataFrame:
@@ -84,9 +84,14 @@ def sessions_by_gap(df: DataFrame, keys: Sequence[str], ts: str, gaps_s: Sequenc
     return wide.select(F.inline(rows))
 
 
-def transitions(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, kind: str, accuracy: int | None = None) -> DataFrame:
-    """(from, to, n, median_ms, mean_ms): how often a kind follows another in each key's order."""
-    rows = df.select(*dict.fromkeys([*keys, ts, id_col, kind])).na.drop(subset=[*keys, ts]).withColumn("_blk", block_of(ts))
+def transitions(df: DataFrame, keys: Sequence[str], ts: str, id_col: str, kind: str, accuracy: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(from, to, n, median_ms, mean_ms): how often a kind follows another in each key's order.
+
+    A block is as short as the fullest day of a key needs for ``block_rows`` rows (one second is the least).
+    """
+    rows = df.select(*dict.fromkeys([*keys, ts, id_col, kind])).na.drop(subset=[*keys, ts])
+    most = rows.groupBy(*keys, block_of(ts).alias("_blk")).count().agg(F.max("count")).first()[0] or 0
+    rows = rows.withColumn("_blk", block_of(ts, max(1, BLOCK_SECONDS * block_rows // max(block_rows, most))))
     out = with_previous(rows, keys, "_blk", [ts, id_col], [ts, kind]).where(F.col(f"prev_{ts}").isNotNull())
     step = millis(ts) - millis(f"prev_{ts}")
     return out.groupBy(F.col(f"prev_{kind}").alias("from"), F.col(kind).alias("to")).agg(F.count("*").alias("n"), quantile(step, 0.5, accuracy).alias("median_ms"), F.avg(step).alias("mean_ms"))

@@ -1,11 +1,12 @@
 """One row per entity from events of hundreds of types: two-stage salted aggregation.
 
-Heavy (entity, type) groups are spread over salts: a first aggregation works on (entity, type, salt), a second merges
-the partial statistics, then the complete type list is expanded per entity, types without events included. The list of
-types is a proven small set: it is counted first and refused beyond ``max_types``.
+The first aggregation works on (entity, types, salt), the second merges the partial statistics, then the complete type
+list is expanded per entity, types without events included. The salt of a row is its input partition modulo ``salts``.
+Every partition combines its own rows first, so salts add no row to the shuffle, and a group is spread over as many
+tasks as there are salts, without anybody having to find out which groups are heavy: one pass over the events
+does. Only the time of the last event of all is looked up before it, from two columns.
 
-Which groups are heavy is found by a count of the raw groups (combined before its shuffle). A group is heavy from the
-``heavy_share`` of all rows, so there are at most ``1 / heavy_share`` of them, whatever the input's size.
+The list of types is held by the driver in one copy; every result row holds it as well.
 
 Nulls: rows without entity or timestamp are left out; a null type has no place in the type list and counts in no type,
 but its rows count in other type columns. Types of equal spelling but for outer blanks, case and accents should be made
@@ -22,19 +23,15 @@ from pyspark.sql import functions as F
 from lavra.functions.time import micros
 from lavra.session import staged
 
-HEAVY_SHARE = 0.001
 SALTS = 16
 
 
-def type_list(groups: DataFrame, column: str, max_types: int = 20_000) -> list:
-    """The sorted types of a column, refused if there are more than ``max_types``."""
-    rows = groups.select(column).where(F.col(column).isNotNull()).distinct().limit(max_types + 1).collect()
-    if len(rows) > max_types:
-        raise ValueError(f"{column} has more than {max_types} values; it isn't a list of types")
-    return sorted(r[0] for r in rows)
+def type_list(groups: DataFrame, column: str) -> list:
+    """The sorted types of a column."""
+    return sorted(r[0] for r in groups.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
-def entity_features(events: DataFrame, cols: Sequence[str], recent_days: int = 30, heavy_share: float = HEAVY_SHARE, salts: int = SALTS) -> DataFrame:
+def entity_features(events: DataFrame, cols: Sequence[str], recent_days: int = 30, salts: int = SALTS) -> DataFrame:
     """One row per ``entity`` from (entity, ts, type columns ``cols``).
 
     For every type column ``c`` its complete list ``c_ids`` and arrays in the list's order: ``c_count`` (events in the last
@@ -43,17 +40,12 @@ def entity_features(events: DataFrame, cols: Sequence[str], recent_days: int = 3
     """
     own = [f"c{i}" for i in range(len(cols))]
     events = events.select("entity", micros("ts").alias("us"), *[F.col(c).alias(o) for c, o in zip(cols, own)]).where("entity IS NOT NULL AND us IS NOT NULL")
-    groups = staged(events.groupBy("entity", *own).agg(F.count("*").alias("n"), F.max("us").alias("us")), "feature-groups")
-    types = [type_list(groups, o) for o in own]
-    total, last = groups.agg(F.sum("n"), F.max("us")).first()
+    last = events.agg(F.max("us")).first()[0]
     floor = (last or 0) - recent_days * 86_400_000_000
-    heavy = groups.where(F.col("n") >= max(1, int((total or 0) * heavy_share))).select("entity", *own, F.lit(salts).alias("salts"))
-    same = F.col("e.entity") == F.col("h.entity")
-    for o in own:
-        same = same & F.col(f"e.{o}").eqNullSafe(F.col(f"h.{o}"))
-    salted = events.alias("e").join(F.broadcast(heavy).alias("h"), same, "left").select("e.*", F.pmod(F.xxhash64("e.us"), F.coalesce("h.salts", F.lit(1))).alias("salt"))
+    salted = events.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     recent = F.count_if(F.col("us") > floor).alias("recent")
-    partial = salted.groupBy("entity", *own, "salt").agg(F.count("*").alias("n"), recent, F.max("us").alias("us"))
+    partial = staged(salted.groupBy("entity", *own, "salt").agg(F.count("*").alias("n"), recent, F.max("us").alias("us")), "feature-groups")
+    types = [type_list(partial, o) for o in own]
     # Every type column of a partial row is a statistic of its own; the rows are few now.
     kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(o).cast("string").alias("type")) for i, o in enumerate(own)])
     long = partial.select("entity", "n", "recent", "us", F.explode(kinds).alias("k"))
@@ -62,7 +54,7 @@ def entity_features(events: DataFrame, cols: Sequence[str], recent_days: int = 3
     wide = merged.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.when(F.col("k.type").isNotNull(), entry))).alias("m"))
     out: list[Column] = [F.col("entity")]
     for i, c in enumerate(cols):
-        names = F.lit(types[i]) if types[i] else F.array().cast(f"array<{dict(groups.dtypes)[own[i]]}>")
+        names = F.lit(types[i]) if types[i] else F.array().cast(f"array<{dict(partial.dtypes)[own[i]]}>")
         keys = F.lit([f"{i}:{t}" for t in types[i]]) if types[i] else F.array().cast("array<string>")
 
         def pick(get, keys=keys) -> Column:

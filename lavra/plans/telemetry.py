@@ -275,7 +275,7 @@ def concept_family(spark, d):
 
 @R.query()
 def fuzzy_pairs(spark, d):
-    """Pairs of similar concept names by matching blocks, found through shared words."""
+    """Pairs of similar concept names by matching blocks, found through shared characters, counted and put in one order."""
     t = _tel(spark, d).select(text_concept("alarme").alias("nome")).where("nome <> ''").distinct()
     return concepts.similar_pairs(t, "nome", 0.75)
 
